@@ -12,17 +12,15 @@ def nearest_asof(queries: DataFrame, rows: DataFrame, key: str, at: str, t: str,
 
     One union and two running windows: the last row at or before each query and the first after it."""
     q = queries.select(F.col(key).alias("__k"), F.col(at).alias("__t"), F.struct(*queries.columns).alias("__q"))
-    r = rows.select(F.col(key).alias("__k"), F.col(t).alias("__t"), F.struct(F.col(t).alias("t"), F.col(id_col).alias("i")).alias("__r"))
+    r = rows.groupBy(F.col(key).alias("__k"), F.col(t).alias("__t")).agg(F.min(id_col).alias("i"))
+    r = r.select("__k", "__t", F.struct(F.col("__t").alias("t"), "i").alias("__r"))
     u = q.unionByName(r, allowMissingColumns=True)
     w = Window.partitionBy("__k").orderBy("__t")
     u = u.withColumns({"__a": F.max("__r").over(w.rangeBetween(Window.unboundedPreceding, 0)), "__b": F.min("__r").over(w.rangeBetween(0, Window.unboundedFollowing))})
-    # of rows at one time before the query the smallest id counts
-    first = F.min("__r").over(Window.partitionBy("__k", "__t"))
-    u = u.withColumn("__same", first)
-    g = u.where("__q is not null")
-    a, b = F.coalesce("__same", "__a"), F.col("__b")
+    a, b = F.col("__a"), F.col("__b")
     use_a = b.isNull() | (a.isNotNull() & (F.col("__t") - a["t"] <= b["t"] - F.col("__t")))
     pick = F.when(use_a, a).otherwise(b)
+    g = u.where("__q is not null")
     return g.select("__q.*", pick["t"].alias(t), pick["i"].alias(id_col))
 
 

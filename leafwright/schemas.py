@@ -1,30 +1,29 @@
-"""Explicit schemas of the entities, and the gate on their version."""
+"""Explicit schemas of the entities, as DDL, and the gate on their version."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql.types import StructType
 
 SCHEMA_VERSION = 1
 
-VIDEOS = StructType.fromDDL(
+VIDEOS = (
     "id string, original_name string, path string, copied boolean, sha256 string, size bigint, container string, codec string, width int, height int, "
     "pix_fmt string, time_base string, avg_rate string, duration_sec double, rotation int, color_trc string, color_primaries string, colorspace string, "
     "hdr boolean, hdr_kind string, high_bit_depth boolean, warnings array<string>, acknowledged array<string>, "
     "content_rotation struct<k:int,mode:string,decided:boolean,votes:array<struct<k:int,conf:double>>>, "
     "analysis struct<analyzed:string,frames:int,threshold:double,motion_p30:double,still_runs:int,error:string,elapsed_sec:double>")
 
-SEGMENTS = StructType.fromDDL(
+SEGMENTS = (
     "id string, video_id string, start_sec double, end_sec double, duration_sec double, candidates array<string>, chosen string, include boolean, manual boolean, "
     "duplicate_of string, warnings array<string>, flags array<string>, source string, acknowledged array<string>, "
     "match_prev struct<segment:string,inliers:int,keypoints:int>, manual_geometry struct<frame_id:string,bbox:array<int>,gutter_x:int>, "
     "page_options map<string,string>, rotation_rev int")
 
-FRAMES = StructType.fromDDL(
+FRAMES = (
     "id string, video_id string, pts bigint, time_sec double, path string, thumb string, width int, height int, rotation_applied int, content_rotation_k int, "
     "scores struct<sharpness:double,motion:double,brightness:double,signature_diff:double>, warnings array<string>, source string, original_name string")
 
-PAGES = StructType.fromDDL(
+PAGES = (
     "id string, segment_id string, side string, frame_id string, image string, thumb string, width int, height int, dpi int, skew_deg double, line_pitch_px double, "
     "revision string, include boolean, active boolean, warnings array<string>, acknowledged array<string>, image_only_ok boolean, printed_number string, updated string, "
     "ocr struct<key:string,revision:string,attempts:int,lang:string,psm:int,scale:double,pdf:string,txt:string,tsv:string,chars:int,mean_conf:double,sure_chars:int,"
@@ -32,9 +31,9 @@ PAGES = StructType.fromDDL(
     "receipt struct<auto:struct<fields:map<string,string>,evidence:map<string,string>,candidates:array<string>,checks:array<string>,reread:map<string,string>,"
     "total_disagree:array<bigint>,date_reread:string,date_disagree:array<string>,ocr_key:string,time:string>,manual:map<string,string>,manual_source:string,manual_time:string>")
 
-WORDS = StructType.fromDDL("level int, page_num int, block_num int, par_num int, line_num int, word_num int, left int, top int, width int, height int, conf string, text string")
+WORDS = ("level int, page_num int, block_num int, par_num int, line_num int, word_num int, left int, top int, width int, height int, conf string, text string")
 
-EXPORTS = StructType.fromDDL(
+EXPORTS = (
     "time string, path string, pages int, forced boolean, image_only_pages array<string>, unresolved int, revisions map<string,string>, order array<string>, "
     "sha256 string, verify string, receipt_files map<string,string>")
 
