@@ -11,18 +11,19 @@ MAGIC = [("png", "89504E47"), ("jpeg", "FFD8FF"), ("mp4", "66747970"), ("matrosk
 
 
 def probe(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """Files by content, not suffix: path, length, modified, kind, sha256, error. An unknown or empty file is an error row."""
+    """Files by content, not suffix: path, length, modified, kind, sha256, error. A file of no known kind is an
+    error row; the reader passes over files without bytes."""
     f = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
     head = F.hex(F.substring(F.col("content"), 1, 12))
     kind = F.lit(None).cast("string")
     for name, magic in reversed(MAGIC):
         kind = F.when(F.contains(head, F.lit(magic)), name).otherwise(kind)
     f = f.select("path", "length", F.col("modificationTime").alias("modified"), kind.alias("kind"), F.sha2("content", 256).alias("sha256"))
-    return f.withColumn("error", F.when(F.col("length") == 0, "empty file").when(F.col("kind").isNull(), "not a known kind"))
+    return f.withColumn("error", F.when(F.col("kind").isNull(), "not a known kind"))
 
 
 def list_photos(spark: SparkSession, path: str) -> DataFrame:
-    """The photos of a folder by name, as they are to be added; content is not read."""
+    """The photos of a folder by name, as they are to be added; content is not read, and files without bytes are passed over."""
     f = spark.read.format("binaryFile").option("pathGlobFilter", "*.{jpg,jpeg,png,JPG,JPEG,PNG}").load(path).select("path", "length")
     return f.withColumn("name", F.element_at(F.split("path", "/"), -1)).orderBy("name")
 

@@ -49,10 +49,11 @@ def test_small_files(spark, tmp_path):
     photos = tmp_path / "photos"
     photos.mkdir()
     (photos / "b.png").write_bytes(b"\x89PNG....")
-    (photos / "a.jpg").write_bytes(b"")
+    (photos / "a.jpg").write_bytes(b"\xff\xd8\xff")
+    (photos / "empty.jpg").write_bytes(b"")
     (photos / "c.txt").write_bytes(b"hello")
     assert [r.name for r in files.list_photos(spark, str(photos)).collect()] == ["a.jpg", "b.png"]
-    assert {r.path.split("/")[-1]: (r.kind, r.error) for r in files.probe(spark, str(photos)).collect()} == {"a.jpg": (None, "empty file"), "b.png": ("png", None), "c.txt": (None, "not a known kind")}
+    assert {r.path.split("/")[-1]: (r.kind, r.error) for r in files.probe(spark, str(photos)).collect()} == {"a.jpg": ("jpeg", None), "b.png": ("png", None), "c.txt": (None, "not a known kind")}
 
 
 def test_project(spark, tmp_path):
