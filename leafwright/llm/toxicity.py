@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import durable
+
 _WORD = re.compile(r"\w+")
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -19,25 +22,32 @@ def _mix(h: np.ndarray) -> np.ndarray:
 
 
 class Words:
-    """Letters of many words in one array, each with a start mark before and an end mark after it, and
-    the hashes of the n letters that end at each place (fewer where the word starts)."""
+    """Letters of many words in one array, each with a start mark before and an end mark after it."""
 
     def __init__(self, words: list[str], most: int = 64):
         marked = ["\x02" + w[:most] + "\x03" for w in words]
         self.size = np.fromiter(map(len, marked), np.int64, len(marked))
-        self.letters = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
-        self.first = np.repeat(np.cumsum(self.size) - self.size, self.size)
-        self.depth = np.arange(len(self.letters)) - self.first + 1  # letters of the word up to here
-
-    def grams(self, order: int) -> list[np.ndarray]:
-        """hashes[n], n = 0 .. order: of the n letters that end at each place; 0 where there are fewer."""
-        at, out = np.arange(len(self.letters)), [np.full(len(self.letters), 1, np.uint64)]
-        with np.errstate(over="ignore"):
-            h = np.zeros(len(self.letters), np.uint64)
-            for n in range(1, order + 1):
-                h = _mix(h * _STEP + self.letters[np.maximum(at - n + 1, 0)] + np.uint64(n))
-                out.append(np.where(self.depth >= n, h | np.uint64(1), 0).astype(np.uint64))
-        return out
+        self.letters = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), dtype="<u4")
+        starts = np.cumsum(self.size) - self.size
+        self.depth = (np.arange(1, len(self.letters) + 1) - np.repeat(starts, self.size)).astype(np.int32)  # letters of the word up to here
+
+    def grams(self, order: int) -> Iterator[tuple[int, np.ndarray]]:
+        """(n, hash of the n letters that end at each place, 0 where the word has fewer), n = 0 .. order.
+        One array at a time: a vocabulary is large."""
+        yield 0, np.full(len(self.letters), 1, np.uint64)
+        h = np.zeros(len(self.letters), np.uint64)
+        for n in range(1, order + 1):
+            back = np.zeros(len(self.letters), np.uint64)
+            back[n - 1 :] = self.letters[: len(self.letters) - n + 1]
+            h = _mix(h * _STEP + back + np.uint64(n))
+            yield n, np.where(self.depth >= n, h | np.uint64(1), np.uint64(0))
+
+
+def _shift(g: np.ndarray) -> np.ndarray:
+    """What stood one place before."""
+    out = np.empty_like(g)
+    out[1:], out[:1] = g[:-1], g[:1]
+    return out
 
 
 class Table:
@@ -45,7 +55,14 @@ class Table:
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
         self.keys, back = np.unique(keys, return_inverse=True)
-        self.values = np.stack([np.bincount(back, weights=v, minlength=len(self.keys)) for v in values]).astype(np.float32)
+        self.values = np.stack([np.bincount(back, weights=v, minlength=len(self.keys)).astype(np.float32) for v in values])
+
+    @classmethod
+    def of(cls, keys: np.ndarray, values: np.ndarray) -> Table:
+        """From distinct sorted keys."""
+        out = cls.__new__(cls)
+        out.keys, out.values = keys, values
+        return out
 
     def __call__(self, keys: np.ndarray) -> np.ndarray:
         if not len(self.keys):
@@ -64,72 +81,68 @@ class KneserNey:
 
     def __init__(self, words: list[str], counts: np.ndarray, order: int = 6, discount: float = 0.75):
         """counts[c, i]: in how many documents of class c word i is."""
-        self.order, self.discount = order, discount
+        self.order, self.discount, self.classes = order, discount, len(counts)
         w = Words(words)
-        grams = w.grams(order)
-        each = np.repeat(counts.astype(np.float64), w.size, axis=1)
+        self.letters = max(2, len(np.unique(w.letters)))
         letter = w.depth > 1  # the start mark is given, not predicted
-        full, context = self._top(w, grams)
-        self.seen = Table(full[letter], each[:, letter])
-        self.after = Table(context[letter], np.concatenate([each[:, letter], np.zeros_like(each[:, letter])]))
-        pair, at = np.unique(full[letter], return_index=True)
-        has = self.seen(pair) > 0
-        kinds = Table(context[letter][at], has.astype(np.float64))
-        self.after.values[len(counts):] = kinds(self.after.keys)
+        full, context = np.zeros(len(letter), np.uint64), np.zeros(len(letter), np.uint64)
         self.lower: list[tuple[Table, Table]] = []
-        for n in range(1, order):  # continuation counts of n letters: different letters before them
-            longer = np.where(w.depth > n, grams[n + 1], grams[n])
-            ok = (w.depth >= n) & letter
-            _, at = np.unique(np.where(ok, longer, 0), return_index=True)
-            at = at[ok[at]]
-            count = Table(grams[n][at], np.ones((1, len(at))))
-            before = np.maximum(np.arange(len(w.letters)) - 1, 0)
-            ctx = np.where(w.depth >= n, grams[n - 1][before] if n > 1 else np.uint64(1), 0)
-            kind, k = np.unique(grams[n][at], return_index=True)
-            follow = Table(np.concatenate([ctx[at], ctx[at][k]]), np.stack([np.r_[np.ones(len(at)), np.zeros(len(k))], np.r_[np.zeros(len(at)), np.ones(len(k))]]))
-            self.lower.append((count, follow))
-        self.letters = max(2, len(np.unique(w.letters)))
-
-    def _top(self, w: Words, grams: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """The longest gram that ends at each place, and its context."""
-        n = np.minimum(w.depth, self.order)
-        full = np.choose(n, grams, mode="clip") if self.order < 31 else None
-        before = np.maximum(np.arange(len(w.letters)) - 1, 0)
-        context = np.choose(n - 1, [g[before] for g in grams], mode="clip")
-        context = np.where(n == 1, np.uint64(1), context)
-        return full, context
+        shorter = gram = None
+        for n, longer in w.grams(order):
+            if n >= 2:  # continuation counts of n - 1 letters: different letters before them
+                self._count(w, letter, n - 1, shorter, gram, longer)
+            if n >= 1:
+                here = np.minimum(w.depth, order) == n
+                full[here] = longer[here]
+                context[here] = _shift(gram)[here] if n > 1 else 1
+            shorter, gram = gram, longer
+        del shorter, gram, longer
+        full, context = full[letter], context[letter]
+        each = np.repeat(counts.astype(np.float32), w.size, axis=1)[:, letter]
+        self.seen = Table(full, each)
+        pair, at = np.unique(full, return_index=True)
+        total, kinds = Table(context, each), Table(context[at], (self.seen(pair) > 0).astype(np.float32))
+        self.after = Table.of(total.keys, np.concatenate([total.values, kinds(total.keys)]))
+
+    def _count(self, w: Words, letter: np.ndarray, n: int, shorter: np.ndarray, gram: np.ndarray, longer: np.ndarray) -> None:
+        ok = (w.depth >= n) & letter
+        _, at = np.unique(np.where(w.depth > n, longer, gram)[ok], return_index=True)
+        at = np.flatnonzero(ok)[at]
+        before = np.maximum(at - 1, 0)
+        ctx = shorter[before] if n > 1 else np.full(len(at), 1, np.uint64)
+        _, k = np.unique(gram[at], return_index=True)
+        one = np.ones((1, len(at)), np.float32)
+        total, kinds = Table(ctx, one), Table(ctx[k], one[:, : len(k)])
+        self.lower.append((Table(gram[at], one), Table.of(total.keys, np.concatenate([total.values, kinds(total.keys)]))))
 
     def ratios(self, words: list[str]) -> np.ndarray:
         """log P(word | class 1) - log P(word | class 0) for each word."""
         if not words:
             return np.empty(0)
-        w = Words(words)
-        grams = w.grams(self.order)
-        before = np.maximum(np.arange(len(w.letters)) - 1, 0)
+        w, d = Words(words), self.discount
         p = np.full(len(w.letters), 1.0 / self.letters)
-        d = self.discount
-        for n, (count, follow) in enumerate(self.lower, 1):
-            ok = w.depth >= n + (n > 1)
-            ctx = grams[n - 1][before] if n > 1 else np.full(len(p), 1, np.uint64)
-            total, kinds = follow(ctx)
-            c = count(grams[n])[0]
-            here = (np.maximum(c - d, 0) + d * kinds * p) / np.maximum(total, 1)
-            p = np.where(ok & (total > 0), here, p)
-        full, context = self._top(w, grams)
+        full, context, gram = np.zeros(len(p), np.uint64), np.zeros(len(p), np.uint64), None
+        for n, longer in w.grams(self.order):
+            if n >= 1:
+                before = _shift(gram) if n > 1 else gram
+                here = np.minimum(w.depth, self.order) == n
+                full[here], context[here] = longer[here], before[here]
+            if 1 <= n < self.order:  # of the letters since the start mark only the highest order speaks
+                count, follow = self.lower[n - 1]
+                total, kinds = follow(before)
+                better = (np.maximum(count(longer)[0] - d, 0) + d * kinds * p) / np.maximum(total, 1)
+                p = np.where((w.depth >= n + (n > 1)) & (total > 0), better, p)
+            gram = longer
         seen, after = self.seen(full), self.after(context)
-        half = len(seen)
         logs = []
-        for k in range(half):
-            total, kinds = after[k], after[half + k]
-            here = (np.maximum(seen[k] - d, 0) + d * kinds * p) / np.maximum(total, 1e-9)
-            logs.append(np.log(np.where(total > 0, here, p)))
+        for k in range(self.classes):
+            total, kinds = after[k], after[self.classes + k]
+            better = (np.maximum(seen[k] - d, 0) + d * kinds * p) / np.maximum(total, 1e-9)
+            logs.append(np.log(np.where(total > 0, better, p)))
         diff = np.where(w.depth > 1, logs[1] - logs[0], 0)
         return np.add.reduceat(diff, np.cumsum(w.size) - w.size)
 
 
-_CACHE: dict[str, tuple[str, dict[str, float]]] = {}
-
-
 def features(texts: list[str | None], model: KneserNey, cache: dict[str, float], most: int = 500_000) -> np.ndarray:
     """Per text: log-likelihood ratio a word; the mean of the largest three; the largest; the mean of the
     positive ones over the square root of the length. All are zero for a text without words."""
@@ -180,7 +193,7 @@ def held_out(id_) -> F.Column:
     return F.coalesce(F.crc32(id_.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def train_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 20_000, id_col: str = "doc_id", text_col: str = "text",
+def train_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 6_000, id_col: str = "doc_id", text_col: str = "text",
                    label_col: str = "toxic") -> Toxicity:
     """Fits the models on labelled rows that are not held out: at most per_class of each class (the
     documented bound), those with the smallest hashes of their ids. Three quarters of them make the
@@ -194,13 +207,13 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 20_000,
         part = mine.where(F.col("y") == y).orderBy("h", "id").limit(per_class)
         picked = part if picked is None else picked.unionByName(part)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null").join(picked, "id")
-    from .common import durable
-
     rows = durable(rows.select("text", "y", (F.pmod("h", F.lit(4)) == 0).alias("fold")), "toxicity-train")
     words = F.array_distinct(F.expr(r"regexp_extract_all(lower(text), '(?U)\\w+', 0)"))
     counts = rows.where("not fold").select("y", F.explode(words).alias("w")).groupBy("w").agg(F.count_if(F.col("y") == 0).alias("a"), F.count_if(F.col("y") == 1).alias("b"))
     got = counts.toArrow()
-    model = KneserNey(got.column("w").to_pylist(), np.stack([got.column("a").to_numpy(), got.column("b").to_numpy()]))
+    vocabulary, seen = got.column("w").to_pylist(), np.stack([got.column("a").to_numpy(), got.column("b").to_numpy()])
+    del got
+    model = KneserNey(vocabulary, seen)
     tox = Toxicity(model)
     handle = spark.sparkContext.broadcast(model)
 
