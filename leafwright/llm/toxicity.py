@@ -75,8 +75,9 @@ class KneserNey:
     """For each class, interpolated Kneser-Ney over the letters of words.
 
     The highest order counts what each class has; all lower orders are continuation counts (how many
-    different letters come before) of both classes together. A word that neither class has seen so
-    falls back to the same probabilities and speaks for neither.
+    different letters come before) of both classes together. A letter that neither class has seen after
+    its context falls back to the same probabilities and speaks for neither; how much weight each class
+    keeps for backoff only tells how much text it has.
     """
 
     def __init__(self, words: list[str], counts: np.ndarray, order: int = 6, discount: float = 0.75):
@@ -139,7 +140,8 @@ class KneserNey:
             total, kinds = after[k], after[self.classes + k]
             better = (np.maximum(seen[k] - d, 0) + d * kinds * p) / np.maximum(total, 1e-9)
             logs.append(np.log(np.where(total > 0, better, p)))
-        diff = np.where(w.depth > 1, logs[1] - logs[0], 0)
+        known = seen.sum(axis=0) > 0  # what neither class has seen is left to the backoff that they share
+        diff = np.where((w.depth > 1) & known, logs[1] - logs[0], 0)
         return np.add.reduceat(diff, np.cumsum(w.size) - w.size)
 
 
