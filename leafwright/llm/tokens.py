@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import operator
 import re
+import struct
 import zlib
 
 import numpy as np
@@ -17,54 +19,91 @@ from .common import fresh_path
 # lower-casing can join with their neighbours: ASCII and the accented Latin letters.
 _LETTER = "A-Za-zÀ-ÖØ-öø-įı-ňŊ-ž"
 _PLAIN = re.compile(f"[!-~{_LETTER}]+")
-_PIECE = re.compile(f"'(?:[sS]|[tT]|[rR][eE]|[vV][eE]|[mM]|[lL][lL]|[dD])|[{_LETTER}]+|[0-9]|[^{_LETTER}0-9]+")
+_PIECE = re.compile(f"'(?:s|t|re|ve|m|ll|d)|[{_LETTER}]+|[0-9]|[^{_LETTER}0-9]+")
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
 
 
+def _byte_letters() -> dict[int, int]:
+    """The byte-level alphabet: printable bytes stand for themselves, the others for letters from U+0100 on."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: b for b in shown} | {b: 256 + n for n, b in enumerate(hidden)}
+
+
+class _Recent(dict):
+    """A dict of which at least the last `most` new or used keys stay; what a full generation leaves
+    behind is looked up once more in the one before it."""
+
+    def __init__(self, most: int):
+        super().__init__()
+        self.most, self.before = most, {}
+
+    def __missing__(self, key):
+        value = self[key] = self.before[key]
+        return value
+
+    def lacks(self, keys: set) -> set:
+        return keys.difference(self).difference(self.before)
+
+    def turn(self) -> None:
+        if len(self) > self.most:
+            self.before = dict(self)
+            self.clear()
+
+
 class CachedTokenizer:
     """Token ids of whole texts, equal to those of the library on each text.
 
     The vocabulary's rule drops white space and joins nothing across it, so a text is encoded by its
-    words, and plain words by their pieces; each distinct one goes through the library once. Texts that
-    hold special tokens are given to the library whole. The caches start anew at `most` entries, so
-    memory is bounded.
+    words, and plain words by their pieces, which go straight to the library's model; each distinct one
+    goes there once. Words beyond the plain letters, and texts that hold special tokens, go through the
+    whole library. The caches hold about twice `most` entries, so memory is bounded.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 250_000):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        self.model, self.alphabet = self.library.model, _byte_letters()
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.most, self.words, self.pieces = most, {}, {}
-
-    def _learn(self, new: list[str]) -> None:
-        if len(self.words) > self.most:
-            self.words.clear()
-        if len(self.pieces) > self.most:
-            self.pieces.clear()
-        parts = {w: _PIECE.findall(w) if _PLAIN.fullmatch(w) else [w] for w in new}
-        fresh = [p for p in {p for ps in parts.values() for p in ps} if p not in self.pieces]
-        for p, e in zip(fresh, self.library.encode_batch_fast(fresh, add_special_tokens=False)):
-            self.pieces[p] = e.ids
-        for w, ps in parts.items():
-            self.words[w] = self.pieces[ps[0]] if len(ps) == 1 else [i for p in ps for i in self.pieces[p]]
+        self.kind = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
+        self.packers = [struct.Struct(f"<{n}{'H' if self.kind.itemsize == 2 else 'I'}").pack for n in range(64)]
+        self.words, self.pieces = _Recent(most), _Recent(most)
+
+    def _pack(self, ids: list[int]) -> bytes:
+        return np.array(ids, self.kind).tobytes()
+
+    def _learn(self, new: set[str]) -> None:
+        tokenize, alphabet, pieces, pack, ident = self.model.tokenize, self.alphabet, self.pieces, self.packers, operator.attrgetter("id")
+        pieces.turn()
+        odd = []
+        for w in new:
+            if not _PLAIN.fullmatch(w):
+                odd.append(w)
+                continue
+            out = []
+            for p in _PIECE.findall(w.lower()):
+                try:
+                    ids = pieces[p]
+                except KeyError:
+                    found = tokenize(p if p.isascii() else p.encode().decode("latin-1").translate(alphabet))
+                    ids = pieces[p] = pack[len(found)](*map(ident, found)) if len(found) < 64 else self._pack([t.id for t in found])
+                out.append(ids)
+            self.words[w] = out[0] if len(out) == 1 else b"".join(out)
+        for w, e in zip(odd, self.library.encode_batch_fast(odd, add_special_tokens=False)):
+            self.words[w] = self._pack(e.ids)
+
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        whole = [i for i, t in enumerate(texts) if _ODD_SPACE.search(t) or any(s in t for s in self.special)]
+        aside = dict(zip(whole, (self.library.encode(texts[i], add_special_tokens=False).ids for i in whole)))
+        chunks = [[] if i in aside else t.split() for i, t in enumerate(texts)]
+        self.words.turn()
+        self._learn(self.words.lacks(set().union(*chunks)))
+        known = self.words.__getitem__
+        return [np.array(aside[i], self.kind) if i in aside else np.frombuffer(b"".join(map(known, c)), self.kind) for i, c in enumerate(chunks)]
 
     def encode(self, text: str) -> list[int]:
-        if not text:
-            return []
-        if _ODD_SPACE.search(text) or any(s in text for s in self.special):
-            return self.library.encode(text, add_special_tokens=False).ids
-        chunks = text.split()
-        known = self.words
-        if new := [w for w in set(chunks) if w not in known]:
-            if len(known) + len(new) > self.most:
-                known.clear()
-                new = list(set(chunks))
-            self._learn(new)
-        out: list[int] = []
-        for w in chunks:
-            out += known[w]
-        return out
+        return self.encode_all([text])[0].tolist()
 
 
 _LOADED: dict[str, CachedTokenizer] = {}
@@ -95,16 +134,14 @@ def write_tokens(docs: DataFrame, out: str, tokenizer: str, end_id: int = 1, id_
     dealt = dealt.select("id", "text", F.spark_partition_id().alias("part"))
 
     def over(batches):
-        encode, before = _tokenizer(tokenizer).encode, 0
+        encode, before, end = _tokenizer(tokenizer).encode_all, 0, np.array([end_id], np.int32)
         for batch in batches:
-            for b in (batch.slice(i, 1024) for i in range(0, batch.num_rows, 1024)):
-                rows = []
-                for t in b.column("text"):
-                    ids = encode(t.as_py())
-                    rows.append(np.array([*ids, end_id], dtype=np.int32))
-                sizes = np.fromiter(map(len, rows), np.int64, len(rows))
+            for b in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
+                rows = encode(b.column("text").to_pylist())
+                sizes = np.fromiter(map(len, rows), np.int64, len(rows)) + 1
                 ends = np.cumsum(sizes)
-                tokens = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(np.concatenate(rows)))
+                flat = np.concatenate([x for r in rows for x in (r, end)]).astype(np.int32)
+                tokens = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(flat))
                 yield pa.record_batch([b.column("id"), b.column("part"), pa.array(before + ends - sizes), pa.array(sizes), tokens], names=["id", "part", "offset", "n_tokens", "tokens"])
                 before += int(ends[-1])
 
