@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,7 +21,6 @@ from .common import fresh_path
 _LETTER = "A-Za-zÀ-ÖØ-öø-įı-ňŊ-ž"
 _PLAIN = re.compile(f"[!-~{_LETTER}]+")
 _PIECE = re.compile(f"'(?:s|t|re|ve|m|ll|d)|[{_LETTER}]+|[0-9]|[^{_LETTER}0-9]+")
-_ODD_SPACE = re.compile("[\x1c-\x1f]")
 
 
 def _byte_letters() -> dict[int, int]:
@@ -56,7 +56,7 @@ class CachedTokenizer:
 
     The vocabulary's rule drops white space and joins nothing across it, so a text is encoded by its
     words, and plain words by their pieces, which go straight to the library's model; each distinct one
-    goes there once. Words beyond the plain letters, and texts that hold special tokens, go through the
+    goes there once. Words beyond the plain letters, or with special tokens in them, go through the
     whole library. The caches hold about twice `most` entries, so memory is bounded.
     """
 
@@ -78,8 +78,11 @@ class CachedTokenizer:
         pieces.turn()
         odd = []
         for w in new:
-            if not _PLAIN.fullmatch(w):
-                odd.append(w)
+            if not _PLAIN.fullmatch(w) or any(x in w for x in self.special):
+                if w:
+                    odd.append(w)
+                else:
+                    self.words[w] = b""
                 continue
             out = []
             for p in _PIECE.findall(w.lower()):
@@ -93,17 +96,28 @@ class CachedTokenizer:
         for w, e in zip(odd, self.library.encode_batch_fast(odd, add_special_tokens=False)):
             self.words[w] = self._pack(e.ids)
 
-    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
-        whole = [i for i, t in enumerate(texts) if _ODD_SPACE.search(t) or any(s in t for s in self.special)]
-        aside = dict(zip(whole, (self.library.encode(texts[i], add_special_tokens=False).ids for i in whole)))
-        chunks = [[] if i in aside else t.split() for i, t in enumerate(texts)]
+    def encode_array(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, and how many each has.
+
+        Arrow splits the texts and numbers their distinct words; only those become Python strings."""
+        if not pc.any(pc.match_substring(texts, self.special[0][:2] if self.special else "\0")).as_py():
+            texts = pc.ascii_lower(texts)  # fewer distinct words; special tokens tell the cases apart
+        split = pc.ascii_split_whitespace(texts)
+        coded = split.flatten().dictionary_encode()
+        words = coded.dictionary.to_pylist()
         self.words.turn()
-        self._learn(self.words.lacks(set().union(*chunks)))
-        known = self.words.__getitem__
-        return [np.array(aside[i], self.kind) if i in aside else np.frombuffer(b"".join(map(known, c)), self.kind) for i, c in enumerate(chunks)]
+        self._learn(self.words.lacks(set(words)))
+        ids = [self.words[w] for w in words]
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // self.kind.itemsize
+        flat, start = np.frombuffer(b"".join(ids), self.kind), np.cumsum(size) - size
+        word = coded.indices.to_numpy()
+        n = size[word]
+        end = np.concatenate([[0], np.cumsum(n)])
+        edges = split.offsets.to_numpy()
+        return flat[np.repeat(start[word] - end[:-1], n) + np.arange(end[-1])], np.diff(end[edges - edges[0]])
 
     def encode(self, text: str) -> list[int]:
-        return self.encode_all([text])[0].tolist()
+        return self.encode_array(pa.array([text]))[0].tolist()
 
 
 _LOADED: dict[str, CachedTokenizer] = {}
@@ -134,13 +148,15 @@ def write_tokens(docs: DataFrame, out: str, tokenizer: str, end_id: int = 1, id_
     dealt = dealt.select("id", "text", F.spark_partition_id().alias("part"))
 
     def over(batches):
-        encode, before, end = _tokenizer(tokenizer).encode_all, 0, np.array([end_id], np.int32)
+        encode, before = _tokenizer(tokenizer).encode_array, 0
         for batch in batches:
-            for b in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
-                rows = encode(b.column("text").to_pylist())
-                sizes = np.fromiter(map(len, rows), np.int64, len(rows)) + 1
+            for b in (batch.slice(i, 1024) for i in range(0, batch.num_rows, 1024)):
+                ids, sizes = encode(b.column("text"))
+                sizes = sizes + 1
                 ends = np.cumsum(sizes)
-                flat = np.concatenate([x for r in rows for x in (r, end)]).astype(np.int32)
+                flat, last = np.empty(ends[-1], np.int32), np.zeros(ends[-1], bool)
+                last[ends - 1] = True
+                flat[last], flat[~last] = end_id, ids
                 tokens = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(flat))
                 yield pa.record_batch([b.column("id"), b.column("part"), pa.array(before + ends - sizes), pa.array(sizes), tokens], names=["id", "part", "offset", "n_tokens", "tokens"])
                 before += int(ends[-1])
