@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import durable
+
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]*)"
 PATH = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)"
 
@@ -31,7 +33,8 @@ def intervals(entries: DataFrame) -> DataFrame:
     return e.select("list", "verdict", "host", "path", F.col("at").alias("since"), "until").where("until is null or until > since")
 
 
-def filter_urls(captures: DataFrame, entries: DataFrame, id_col: str = "page_id", url_col: str = "url", time_col: str = "fetched") -> DataFrame:
+def filter_urls(captures: DataFrame, entries: DataFrame, id_col: str = "page_id", url_col: str = "url", time_col: str = "fetched",
+                broadcast_rows: int = 10_000) -> DataFrame:
     """One row per capture: (id, host, fetched, n_active, lists, decision).
 
     An entry matches a capture if its host is the capture's host or a parent domain, its path is a prefix
@@ -40,8 +43,9 @@ def filter_urls(captures: DataFrame, entries: DataFrame, id_col: str = "page_id"
     allowed. n_active counts matching entries, lists names their lists, sorted.
 
     Distinct hosts, not captures, are expanded into parent domains and joined with the entries, and most
-    hosts have none; captures then meet the few entries of their host in an equi-join that Spark may
-    broadcast or split where one host is hot. Nothing is collected per host.
+    hosts have none; captures then meet the few entries of their host in an equi-join. Those entries are
+    broadcast when there are at most `broadcast_rows`; beyond that both sides are dealt by host, in a join
+    that Spark splits where one host is hot. Nothing is collected per host.
 
     A null or malformed URL has an empty host and path and matches nothing, a null time matches nothing.
     Repeated captures are decided alike and all returned. Other columns are ignored.
@@ -52,7 +56,9 @@ def filter_urls(captures: DataFrame, entries: DataFrame, id_col: str = "page_id"
     parents = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     hosts = base.select("host").where("host <> ''").distinct().select("host", F.explode(parents).alias("parent"))
     valid = intervals(entries).withColumnRenamed("host", "parent").withColumnRenamed("path", "under")
-    rules = hosts.join(valid, "parent").withColumnRenamed("host", "rule_host")
+    rules = durable(hosts.join(valid, "parent").withColumnRenamed("host", "rule_host"), "url-rules")
+    few = rules.limit(broadcast_rows + 1).count() <= broadcast_rows
+    rules = F.broadcast(rules) if few else rules
     active = (F.col("host") == F.col("rule_host")) & F.col("path").startswith(F.col("under")) & (F.col("since") <= F.col("fetched")) & (F.col("until").isNull() | (F.col("fetched") < F.col("until")))
     met = base.join(rules, active, "left")
     rank = F.when(F.col("rule_host").isNotNull(), F.struct(F.length("parent"), F.length("under"), (F.col("verdict") == "allow").cast("int")))
