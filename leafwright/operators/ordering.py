@@ -37,7 +37,7 @@ def receipt_sort(receipts: DataFrame, by: str) -> DataFrame:
 def is_permutation(order: DataFrame, pages: DataFrame) -> DataFrame:
     """One row (ok): the proposed order names each page once and nothing else."""
     j = order.groupBy("id").agg(F.count("*").alias("n")).join(pages.select("id", F.lit(1).alias("here")), "id", "full")
-    return j.agg(F.coalesce(F.bool_and((F.col("n") == 1) & F.col("here").isNotNull()), F.lit(True)).alias("ok"))
+    return j.agg(F.coalesce(F.bool_and(F.coalesce(F.col("n") == 1, F.lit(False)) & F.col("here").isNotNull()), F.lit(True)).alias("ok"))
 
 
 def move(rows: DataFrame, id_: Column, delta: int) -> DataFrame:

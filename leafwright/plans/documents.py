@@ -448,3 +448,18 @@ QUERIES = {f.__name__: f for f in (page_min_conf, word_stats, word_lines, receip
                                    rule_counts, export_gate, image_only, acknowledged, side_flatmap, natural_order, manual_order, moved_page, order_is_permutation, train_test_split, snapshot_diff, field_confusion,
                                    miss_causes, orientation_vote, signature_diff, knn_ratio, weighted_quantile, iou_stats, scalar_rules, entity_summary)}
 SQL = {name: globals()[name.upper()] for name in QUERIES}
+
+
+def confidence_sweep(spark, sf_dir):
+    """Expected words found in a page's words at several confidence cut-offs; variants are a cross with four stated rows."""
+    w = word_table(spark, sf_dir).select("page_id", F.lower("text").alias("text"), "conf")
+    t = _t(spark, sf_dir, "documents").where("doc_id % 10 = 3").select(F.col("doc_id").alias("page_id"), F.explode(F.array_distinct(F.slice(F.split(F.lower("text"), r"[ \n]+"), 1, 40))).alias("term")).where("term <> ''")
+    best = t.join(w.groupBy("page_id", F.col("text").alias("term")).agg(F.max("conf").alias("conf")), ["page_id", "term"], "left")
+    cuts = best.withColumn("cut", F.explode(F.array(*[F.lit(float(c)) for c in (0, 20, 30, 40)])))
+    return cuts.groupBy("cut").agg(F.count("*").alias("terms"), F.count_if(F.col("conf") >= F.col("cut")).alias("found"))
+
+
+CONFIDENCE_SWEEP = rf"""WITH {WT}, t AS (SELECT DISTINCT page_id, term FROM (SELECT doc_id AS page_id, unnest(string_split_regex(lower(text), '[ \n]+')[1:40]) AS term FROM documents WHERE doc_id % 10 = 3) WHERE term <> ''),
+b AS (SELECT page_id, lower(text) AS term, max(conf) AS conf FROM wt GROUP BY 1, 2), j AS (SELECT t.*, b.conf FROM t LEFT JOIN b ON t.page_id = b.page_id AND t.term = b.term)
+SELECT cut, count(*) AS terms, count(*) FILTER (conf >= cut) AS found FROM j, (VALUES (0.0::DOUBLE), (20.0::DOUBLE), (30.0::DOUBLE), (40.0::DOUBLE)) AS v(cut) GROUP BY 1"""
+QUERIES["confidence_sweep"], SQL["confidence_sweep"] = confidence_sweep, CONFIDENCE_SWEEP

@@ -192,3 +192,76 @@ SETTINGS_MERGE = "SELECT * FROM (VALUES ('layout', 'single'), ('enhance', 'none'
 
 QUERIES = {f.__name__: f for f in (receipt_roundtrip, check_digit, missing_codes, receipt_fields, receipt_import, receipt_arbitration, receipt_sort, receipt_sort_date, resource_peaks, foreign_keys, positional_zip, settings_merge)}
 SQL = {name: globals()[name.upper()] for name in QUERIES}
+
+
+def edited_segments(spark, sf_dir):
+    """Orders as segments, their line items as edits; what is chosen, included and acknowledged afterwards."""
+    from ..operators import edits
+
+    o, li = _t(spark, sf_dir, "orders"), _t(spark, sf_dir, "lineitem")
+    seg = o.select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderkey") % 5 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("f0"), F.lit("f1"))).alias("candidates"), F.lit("f0").alias("chosen"), (F.col("o_orderkey") % 3 == 0).alias("include"),
+                   F.when(F.col("o_orderkey") % 2 == 0, F.lit("s1")).alias("duplicate_of"), F.array(F.lit("blur"), F.lit("short_still")).alias("warnings"))
+    kind = F.col("l_partkey") % 4
+    e = li.select((F.col("l_linenumber").cast("long") * 1_000_000_000 + F.col("l_partkey") * 10_000 + F.col("l_suppkey")).alias("seq"), F.col("l_orderkey").alias("id"), F.when(kind == 0, "choose").when(kind == 1, "include").when(kind == 2, "ack").otherwise("unack").alias("field"),
+                  F.when(kind == 0, F.concat(F.lit("f"), (F.col("l_suppkey") % 3).cast("string"))).when(kind == 1, F.when(F.col("l_suppkey") % 2 == 0, "true").otherwise("false")).otherwise(F.when(F.col("l_suppkey") % 3 == 0, "*").otherwise("blur")).alias("value"))
+    s = edits.apply_segment_edits(seg, e)
+    return s.select("id", "chosen", "include", "duplicate_of", F.array_join("acknowledged", ",").alias("acknowledged"), "error")
+
+
+EDITED_SEGMENTS = """WITH e AS (SELECT CAST(l_linenumber AS BIGINT) * 1000000000 + l_partkey * 10000 + l_suppkey AS seq, l_orderkey AS id, l_partkey % 4 AS kind, l_suppkey AS v FROM lineitem),
+c AS (SELECT id, arg_max('f' || (v % 3), seq) AS ch FROM e WHERE kind = 0 GROUP BY 1), i AS (SELECT id, arg_max(v % 2 = 0, seq) AS inc FROM e WHERE kind = 1 GROUP BY 1),
+a AS (SELECT id, max(seq) FILTER (kind = 2) AS blur_on, max(seq) FILTER (kind = 3) AS blur_off, max(seq) FILTER (kind = 2 AND v % 3 = 0) AS all_on, max(seq) FILTER (kind = 3 AND v % 3 = 0) AS all_off FROM e WHERE kind >= 2 GROUP BY 1),
+s AS (SELECT o_orderkey AS id, o_orderkey % 5 = 0 AS bare, o_orderkey % 3 = 0 AS was, CASE WHEN o_orderkey % 2 = 0 THEN 's1' END AS dup, ch, inc, coalesce(blur_on, -1) > coalesce(blur_off, -1) AS blur, coalesce(all_on, -1) > coalesce(all_off, -1) AS alls
+  FROM orders LEFT JOIN c ON c.id = o_orderkey LEFT JOIN i ON i.id = o_orderkey LEFT JOIN a ON a.id = o_orderkey)
+SELECT id, CASE WHEN ch IS NOT NULL AND NOT bare AND ch <> 'f2' THEN ch ELSE 'f0' END AS chosen, CASE WHEN inc IS NULL OR (inc AND bare) THEN was ELSE inc END AS include, CASE WHEN NOT coalesce(inc AND NOT bare, false) THEN dup END AS duplicate_of,
+  CASE WHEN coalesce(inc AND NOT bare, false) OR (blur AND alls) THEN 'blur,short_still' WHEN blur THEN 'blur' WHEN alls THEN 'short_still' ELSE '' END AS acknowledged,
+  concat_ws(',', CASE WHEN ch IS NOT NULL AND (bare OR ch = 'f2') THEN 'no such candidate' END, CASE WHEN inc AND bare THEN 'no candidates' END) AS error FROM s"""
+
+
+def rotated_frames(spark, sf_dir):
+    """Parts as frames; a turn of some videos swaps sides and makes their segments anew."""
+    from ..operators import edits
+
+    p = _t(spark, sf_dir, "part")
+    f = p.select(F.col("p_partkey").alias("id"), (F.col("p_partkey") % 10).alias("video_id"), F.lit(1920).alias("width"), (F.col("p_size") + 1000).alias("height"))
+    s = f.select("id", "video_id", (F.col("id") % 2).cast("int").alias("rotation_rev"), F.lit("g").alias("geometry"), F.array(F.lit("blur"), F.lit("orientation_uncertain")).alias("warnings"))
+    turns = spark.createDataFrame([(1, 1), (2, 2), (3, -1), (4, 4)], "video_id long, k int")
+    f, s = edits.rotate(f, s, turns)
+    s = s.withColumnRenamed("id", "sid").drop("video_id")
+    return f.join(s, F.col("id") == F.col("sid")).select("id", "width", "height", "rotation_rev", "geometry", F.array_join("warnings", ",").alias("warnings"))
+
+
+ROTATED_FRAMES = """SELECT p_partkey AS id, CASE WHEN p_partkey % 10 IN (1, 3) THEN p_size + 1000 ELSE 1920 END AS width, CASE WHEN p_partkey % 10 IN (1, 3) THEN 1920 ELSE p_size + 1000 END AS height,
+  CAST(p_partkey % 2 + CASE WHEN p_partkey % 10 IN (1, 2, 3) THEN 1 ELSE 0 END AS INTEGER) AS rotation_rev, CASE WHEN p_partkey % 10 NOT IN (1, 2, 3) THEN 'g' END AS geometry, CASE WHEN p_partkey % 10 IN (1, 2, 3) THEN 'blur' ELSE 'blur,orientation_uncertain' END AS warnings FROM part"""
+
+
+def photo_places(spark, sf_dir):
+    """Photos go after the segment named, else behind the last video."""
+    from ..operators import edits
+
+    o = _t(spark, sf_dir, "orders")
+    seg = o.where("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("video_id"), F.col("o_orderkey").cast("double").alias("start"), (F.col("o_orderkey") + 0.5).alias("end"))
+    photos = o.where("o_orderkey % 7 = 0").select(F.col("o_orderkey").alias("seq"), (F.col("o_orderkey") - F.col("o_orderkey") % 4).alias("after")).unionByName(o.where("o_orderkey % 97 = 0").select((F.col("o_orderkey") + 10_000_000_000).alias("seq"), F.lit(-1).cast("long").alias("after")))
+    return edits.place_photos(seg, photos)
+
+
+PHOTO_PLACES = """WITH p AS (SELECT o_orderkey AS seq, o_orderkey - o_orderkey % 4 AS after FROM orders WHERE o_orderkey % 7 = 0 UNION ALL SELECT o_orderkey + 10000000000, -1 FROM orders WHERE o_orderkey % 97 = 0),
+s AS (SELECT o_orderkey AS id, o_custkey AS v, o_orderkey + 0.5::DOUBLE AS e FROM orders WHERE o_orderkey % 2 = 0), l AS (SELECT max(v) AS lv FROM s),
+j AS (SELECT seq, v, e, lv, row_number() OVER (PARTITION BY CASE WHEN e IS NOT NULL THEN after END ORDER BY seq) AS n FROM p LEFT JOIN s ON after = id, l)
+SELECT seq, CASE WHEN e IS NOT NULL THEN v ELSE lv END AS video_id, CASE WHEN e IS NOT NULL THEN e + n * 0.001::DOUBLE ELSE 1e9::DOUBLE + n END AS start FROM j"""
+
+
+def augmented_lines(spark, sf_dir):
+    """Amount lines with the digits that were read again; other lines as they were."""
+    from ..functions import scalars
+
+    o = _t(spark, sf_dir, "orders")
+    digits = F.when(F.col("o_orderkey") % 3 == 0, scalars.trailing_number(F.concat(F.lit("x "), F.format_number(F.floor("o_totalprice"), 0), F.lit(")"))))
+    return o.select("o_orderkey", scalars.augmented(F.lit("合計 "), F.concat(F.lit("合計 "), F.col("o_orderkey").cast("string")), digits).alias("line"))
+
+
+AUGMENTED_LINES = "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN '合計 ¥' || format('{:,}', CAST(floor(o_totalprice) AS BIGINT)) ELSE '合計 ' || o_orderkey END AS line FROM orders"
+
+for _f in (edited_segments, rotated_frames, photo_places, augmented_lines):
+    QUERIES[_f.__name__] = _f
+    SQL[_f.__name__] = globals()[_f.__name__.upper()]

@@ -149,3 +149,27 @@ def test_split_pages(spark):
     df = spark.createDataFrame([(1, 700, 500, bytearray(a.tobytes())), (2, 9, 9, bytearray(b"xx"))], "segment_id long, height int, width int, grey binary")
     got = pages.split_pages(df, layout="single").orderBy("segment_id").collect()
     assert (got[0].side, got[0].line_pitch_px) == ("S", 25.0) and got[1].error
+
+
+def jpeg(w, h, n=3):
+    return b"\xff\xd8\xff\xe0\x00\x04ab" + b"\xff\xc0\x00\x0b\x08" + h.to_bytes(2, "big") + w.to_bytes(2, "big") + bytes([n]) + b"x" * 40
+
+
+def test_pdf(spark):
+    import re
+    import zlib
+
+    from leafwright.sources import pdf
+
+    assert pdf.jpeg_size(jpeg(30, 20)) == (30, 20, 3)
+    w = spark.createDataFrame([("p1", 0, 1, 0, 0, 0, 10, 50, 20, "VAR"), ("p1", 0, 1, 0, 1, 60, 10, 50, 20, "check"), ("p1", 0, 1, 1, 2, 0, 40, 50, 20, "判定")], "page_id string, block int, par int, line int, word int, left int, top int, width int, height int, text string")
+    layer = pdf.text_layer(words.placed(w, 100, 100, 72.0, 72.0)).first().content
+    assert [bytes.fromhex(x).decode("utf-16-be") for x in re.findall("<([0-9A-F]+)>", layer)] == ["VAR ", "check", "判定"]
+    df = spark.createDataFrame([("d", 1, bytearray(jpeg(40, 20)), 72, None), ("d", 0, bytearray(jpeg(30, 20, 1)), 144, layer), ("e", 0, bytearray(b"no"), 72, "")], "document string, pos int, jpeg binary, dpi int, content string")
+    got = {r.document: r for r in pdf.documents(df).collect()}
+    raw = bytes(got["d"].pdf)
+    assert pdf.page_count(raw) == 2 and b"MediaBox[0 0 15.000 10.000]" in raw and jpeg(40, 20) in raw and got["e"].pdf is None and got["e"].error
+    at = int(re.search(rb"startxref\n(\d+)", raw)[1])
+    assert raw[at:].startswith(b"xref") and all(raw[int(o) :].startswith(b"%d 0 obj" % k) for k, o in enumerate(re.findall(rb"(\d{10}) 00000 n", raw), 1))
+    streams = [zlib.decompress(x) for x in re.findall(rb"FlateDecode>>stream\n(.*?)\nendstream", raw, re.DOTALL)]
+    assert layer.encode() in streams[0]
