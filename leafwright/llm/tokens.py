@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import operator
+import os
 import re
 import struct
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -60,12 +62,13 @@ class CachedTokenizer:
     whole library. The caches hold about twice `most` entries, so memory is bounded.
     """
 
-    def __init__(self, path: str, most: int = 250_000):
+    def __init__(self, path: str, most: int = 200_000):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.model, self.alphabet = self.library.model, _byte_letters()
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.mark = os.path.commonprefix(self.special) or "\0"  # what all special tokens start with
         self.kind = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
         self.packers = [struct.Struct(f"<{n}{'H' if self.kind.itemsize == 2 else 'I'}").pack for n in range(64)]
         self.words, self.pieces = _Recent(most), _Recent(most)
@@ -76,23 +79,25 @@ class CachedTokenizer:
     def _learn(self, new: set[str]) -> None:
         tokenize, alphabet, pieces, pack, ident = self.model.tokenize, self.alphabet, self.pieces, self.packers, operator.attrgetter("id")
         pieces.turn()
-        odd = []
+        recent, earlier = pieces.get, pieces.before.get
+        odd, words, mark = [], self.words, self.mark
         for w in new:
-            if not _PLAIN.fullmatch(w) or any(x in w for x in self.special):
-                if w:
-                    odd.append(w)
-                else:
-                    self.words[w] = b""
+            if w.isalpha() and (w.isascii() or _PLAIN.fullmatch(w)):
+                parts = (w.lower(),)
+            elif mark in w or not _PLAIN.fullmatch(w):
+                odd.append(w)
                 continue
+            else:
+                parts = _PIECE.findall(w.lower())
             out = []
-            for p in _PIECE.findall(w.lower()):
-                try:
-                    ids = pieces[p]
-                except KeyError:
+            for p in parts:
+                ids = recent(p) or earlier(p)
+                if ids is None:
                     found = tokenize(p if p.isascii() else p.encode().decode("latin-1").translate(alphabet))
-                    ids = pieces[p] = pack[len(found)](*map(ident, found)) if len(found) < 64 else self._pack([t.id for t in found])
+                    ids = pack[len(found)](*map(ident, found)) if len(found) < 64 else self._pack([t.id for t in found])
+                    pieces[p] = ids
                 out.append(ids)
-            self.words[w] = out[0] if len(out) == 1 else b"".join(out)
+            words[w] = out[0] if len(out) == 1 else b"".join(out)
         for w, e in zip(odd, self.library.encode_batch_fast(odd, add_special_tokens=False)):
             self.words[w] = self._pack(e.ids)
 
@@ -100,11 +105,11 @@ class CachedTokenizer:
         """The ids of all texts in a row, and how many each has.
 
         Arrow splits the texts and numbers their distinct words; only those become Python strings."""
-        if not pc.any(pc.match_substring(texts, self.special[0][:2] if self.special else "\0")).as_py():
+        if not pc.any(pc.match_substring(texts, self.mark)).as_py():
             texts = pc.ascii_lower(texts)  # fewer distinct words; special tokens tell the cases apart
         split = pc.ascii_split_whitespace(texts)
         coded = split.flatten().dictionary_encode()
-        words = coded.dictionary.to_pylist()
+        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         self.words.turn()
         self._learn(self.words.lacks(set(words)))
         ids = [self.words[w] for w in words]
@@ -129,6 +134,17 @@ def _tokenizer(path: str) -> CachedTokenizer:
     return _LOADED[path]
 
 
+def _parts(batch: pa.RecordBatch, rows: int = 2048, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of some thousand rows, with about `most` bytes of text at most (a text alone may be longer)."""
+    size = np.cumsum(pc.binary_length(batch.column("text")).to_numpy())
+    at = 0
+    while at < len(size):
+        stop = int(np.searchsorted(size, (size[at - 1] if at else 0) + most, side="right"))
+        stop = min(max(stop, at + 1), at + rows)
+        yield batch.slice(at, stop - at)
+        at = stop
+
+
 def write_tokens(docs: DataFrame, out: str, tokenizer: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text",
                  row_group_mb: int = 32, page_kb: int = 128) -> None:
     """Tokenises whole texts and writes them to Parquet in ascending order of id.
@@ -150,7 +166,7 @@ def write_tokens(docs: DataFrame, out: str, tokenizer: str, end_id: int = 1, id_
     def over(batches):
         encode, before = _tokenizer(tokenizer).encode_array, 0
         for batch in batches:
-            for b in (batch.slice(i, 1024) for i in range(0, batch.num_rows, 1024)):
+            for b in _parts(batch):
                 ids, sizes = encode(b.column("text"))
                 sizes = sizes + 1
                 ends = np.cumsum(sizes)
