@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -165,10 +167,19 @@ def features(texts: list[str | None], model: KneserNey, cache: dict[str, float],
 
 
 class Toxicity:
-    """A KneserNey model with a logistic curve that turns its ratios into a score from 0 to 1."""
+    """A KneserNey model with a logistic curve that turns its ratios into a score from 0 to 1.
 
-    def __init__(self, model: KneserNey):
-        self.model, self.mean, self.scale, self.weights = model, np.zeros(4), np.ones(4), np.zeros(5)
+    The model is kept packed, and unpacked where it is used, once a process: the driver only passes it on."""
+
+    def __init__(self, packed: bytes):
+        self.packed, self.mean, self.scale, self.weights = packed, np.zeros(4), np.ones(4), np.zeros(5)
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "model"}
+
+    @cached_property
+    def model(self) -> KneserNey:
+        return pickle.loads(self.packed)  # made by _fit
 
     def calibrate(self, x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 50) -> None:
         if not len(y) or y.min() == y.max():
@@ -190,16 +201,29 @@ class Toxicity:
         return 1 / (1 + np.exp(-np.clip(a @ self.weights, -30, 30)))
 
 
+def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Word counts -> the packed model, in pieces."""
+    words: list[str] = []
+    counts = []
+    for b in batches:
+        words += b.column("w").to_pylist()
+        counts.append(np.stack([b.column("a").to_numpy(), b.column("b").to_numpy()]))
+    packed = pickle.dumps(KneserNey(words, np.concatenate(counts, axis=1) if counts else np.zeros((2, 0))))
+    for i in range(0, len(packed), 4 << 20):
+        yield pa.record_batch([pa.array([i], pa.int64()), pa.array([packed[i : i + (4 << 20)]], pa.binary())], names=["at", "piece"])
+
+
 def held_out(id_) -> F.Column:
     """crc32 of the id as text, mod 3, is 1. Null ids are never held out."""
     return F.coalesce(F.crc32(id_.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def train_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 6_000, id_col: str = "doc_id", text_col: str = "text",
+def train_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 6_000, most_words: int = 200_000, id_col: str = "doc_id", text_col: str = "text",
                    label_col: str = "toxic") -> Toxicity:
     """Fits the models on labelled rows that are not held out: at most per_class of each class (the
     documented bound), those with the smallest hashes of their ids. Three quarters of them make the
-    counts, the rest the calibration. Rows without text, id or label are left out.
+    counts, the rest the calibration. Of more than most_words distinct words those in fewest documents
+    are not counted, so the model is bounded too. Rows without text, id or label are left out.
     """
     spark = docs.sparkSession
     mine = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y in (0, 1)")
@@ -212,17 +236,15 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 6_000, i
     rows = durable(rows.select("text", "y", (F.pmod("h", F.lit(4)) == 0).alias("fold")), "toxicity-train")
     words = F.array_distinct(F.expr(r"regexp_extract_all(lower(text), '(?U)\\w+', 0)"))
     counts = rows.where("not fold").select("y", F.explode(words).alias("w")).groupBy("w").agg(F.count_if(F.col("y") == 0).alias("a"), F.count_if(F.col("y") == 1).alias("b"))
-    got = counts.toArrow()
-    vocabulary, seen = got.column("w").to_pylist(), np.stack([got.column("a").to_numpy(), got.column("b").to_numpy()])
-    del got
-    model = KneserNey(vocabulary, seen)
-    tox = Toxicity(model)
-    handle = spark.sparkContext.broadcast(model)
+    # one task, of at most most_words rows, makes the model
+    pieces = counts.orderBy(F.desc(F.col("a") + F.col("b")), "w").limit(most_words).coalesce(1).mapInArrow(_fit, "at long, piece binary").collect()
+    tox = Toxicity(b"".join(r.piece for r in sorted(pieces)) or pickle.dumps(KneserNey([], np.zeros((2, 0)))))
+    handle = spark.sparkContext.broadcast(tox)
 
     def over(batches):
         cache: dict[str, float] = {}
         for b in batches:
-            x = features(b.column("text").to_pylist(), handle.value, cache)
+            x = features(b.column("text").to_pylist(), handle.value.model, cache)
             yield pa.record_batch([pa.array(c) for c in x.T] + [b.column("y")], names=["f0", "f1", "f2", "f3", "y"])
 
     fit = rows.where("fold").select("text", "y").mapInArrow(over, "f0 double, f1 double, f2 double, f3 double, y int").toArrow()
