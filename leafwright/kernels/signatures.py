@@ -8,14 +8,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-@F.pandas_udf("double")
-def _mean_abs_diff(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([np.nan if x is None or y is None or len(x) != len(y) else np.abs(np.asarray(x, float) - np.asarray(y, float)).mean() for x, y in zip(a, b)])
-
-
 def mean_abs_diff(a: Column, b: Column) -> Column:
     """Mean absolute difference of two arrays; NaN where one is missing or the lengths differ."""
-    return _mean_abs_diff(a, b)
+
+    @F.pandas_udf("double")
+    def diff(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([np.nan if x is None or y is None or len(x) != len(y) else np.abs(np.asarray(x, float) - np.asarray(y, float)).mean() for x, y in zip(a, b)])
+
+    return diff(a, b)
 
 
 def sign_bits(vector: Column) -> Column:

@@ -100,6 +100,7 @@ def greedy_band_match(base: DataFrame, rows: DataFrame, band: float) -> DataFram
     cols = ["video_id", "rep", "event_id", "side", "local"]
 
     def match(e: pd.DataFrame, g: pd.DataFrame) -> pd.DataFrame:
+        e, g = (x.reindex(columns=cols) for x in (e, g))  # an empty side comes without columns
         e = e.sort_values(["local", "event_id"])
         exp = list(zip(e["event_id"], e["side"], e["local"]))
         out = []
@@ -112,7 +113,9 @@ def greedy_band_match(base: DataFrame, rows: DataFrame, band: float) -> DataFram
         df = pd.DataFrame(out, columns=["video_id", "rep", "expected", "matched", "status"])
         return df.astype({"expected": "Int64", "matched": "Int64"})
 
-    return base.select(*cols).groupBy("video_id").cogroup(rows.select(*cols).groupBy("video_id")).applyInPandas(match, "video_id long, rep long, expected long, matched long, status string")
+    # aliased, so that sides made from one table keep columns of their own
+    other = rows.select(*[F.col(c).alias(c) for c in cols])
+    return base.select(*cols).groupBy("video_id").cogroup(other.groupBy("video_id")).applyInPandas(match, "video_id long, rep long, expected long, matched long, status string")
 
 
 def band_mapping(base: DataFrame, rows: DataFrame, band: float) -> DataFrame:
