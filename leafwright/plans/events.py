@@ -59,8 +59,9 @@ SELECT video_id, start, "end" FROM g WHERE "end" - start > 86400"""
 
 
 def auto_threshold(spark, sf_dir):
-    """A4 with W3: noise level without dead runs, and the threshold from it."""
-    return series.auto_threshold(frames(spark, sf_dir), RULES)
+    """A4 with W3: noise level without dead runs, and the threshold from it (interpolated, so shown to nine places)."""
+    t = series.auto_threshold(frames(spark, sf_dir), RULES)
+    return t.withColumns({c: F.bround(c, 9) for c in ("noise", "threshold")})
 
 
 SQL_THR = f"""{SQL_BASE},
@@ -71,7 +72,7 @@ mk AS (SELECT fr.*, NOT EXISTS (SELECT 1 FROM dead d WHERE d.video_id = fr.video
 st AS (SELECT video_id, count(*) AS n, count(*) FILTER (NOT alive) AS n_dead, quantile_cont(motion, 0.3) AS pa, quantile_cont(motion, 0.3) FILTER (alive) AS pk FROM mk GROUP BY video_id),
 nz AS (SELECT *, CASE WHEN n - n_dead >= 30 THEN pk ELSE pa END AS noise FROM st),
 th AS (SELECT video_id, n, n_dead, noise, least(greatest(1.0::DOUBLE * noise + 12.0::DOUBLE, 1.0::DOUBLE), 60.0::DOUBLE) AS threshold FROM nz)"""
-AUTO_THRESHOLD = f"WITH {SQL_THR} SELECT video_id, n, n_dead, noise, threshold FROM th"
+AUTO_THRESHOLD = f"WITH {SQL_THR} SELECT video_id, n, n_dead, round_even(noise, 9) AS noise, round_even(threshold, 9) AS threshold FROM th"
 
 
 def dead_still_runs(spark, sf_dir):
