@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,6 +42,38 @@ def durable(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bounded_batches(spark: SparkSession, rows: int = 1_000) -> None:
+    """Texts are long: Arrow batches of at most this many rows bound what an executor and its Python workers hold at once."""
+    now = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
+    if now <= 0 or now > rows:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
+CACHES: dict[str, object] = {}  # of a Python worker, by the operator that keeps them between tasks
+
+
+def release(keep: str = "") -> None:
+    """Python workers are used again by other operators: what those have cached is let go, and freed memory goes
+    back to the system."""
+    for name in [n for n in CACHES if n != keep]:
+        del CACHES[name]
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library has no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def tidy(over, keep: str = ""):
+    """An Arrow function over batches between two calls of release(): an idle worker then holds little."""
+
+    def run(batches):
+        release(keep)
+        yield from over(batches)
+        release(keep)
+
+    return run
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z only. Texts of ASCII alone take the cheaper built-in."""
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))

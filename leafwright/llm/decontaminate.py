@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import bounded_batches, durable, tidy
 
 # Bytes of words: digits, a-z and everything outside ASCII; A-Z are lower-cased first.
 _WORD = frozenset([*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)])
@@ -184,7 +184,7 @@ def _scan(docs: DataFrame, handle, with_text: bool) -> DataFrame:
                 text = part.column("text") if with_text else pa.nulls(part.num_rows, pa.string())
                 yield pa.record_batch([part.column("id"), text, pa.array(runs, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string())), pa.array(map(len, docs), pa.int64())], names=["id", "text", "runs", "items", "n_words"])
 
-    return docs.mapInArrow(over, docs.select("id", "text", "runs", "items").schema.add("n_words", "long"))
+    return docs.mapInArrow(tidy(over), docs.select("id", "text", "runs", "items").schema.add("n_words", "long"))
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text",
@@ -200,6 +200,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = 13, id_col:
     once. Other columns are ignored.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.array().cast("array<int>").alias("runs"), F.array().cast("array<string>").alias("items"))
     blocks = item_blocks(benchmark, item_col, item_text_col, most_words)
     block, after = next(blocks), next(blocks, None)

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE_LOWER, connected_components, durable, local_components
+from .common import BYTE_LOWER, bounded_batches, connected_components, durable, local_components, tidy
 
 _SPACE = bytes((9, 10, 11, 12, 13, 32))
 _GAP = re.compile(rb"[\x20\x09-\x0D]+")
@@ -41,7 +41,7 @@ def _fingerprints(docs: DataFrame, shingle: int) -> DataFrame:
             fp = np.array([fingerprint(t.as_py(), shingle) for t in batch.column("text")], dtype=np.uint64).view(np.int64)
             yield pa.record_batch([batch.column("id"), pa.array(fp)], names=["id", "fp"])
 
-    return docs.mapInArrow(over, docs.select("id").schema.add("fp", "long"))
+    return docs.mapInArrow(tidy(over), docs.select("id").schema.add("fp", "long"))
 
 
 def _bands(fp: F.Column, radius: int) -> F.Column:
@@ -140,7 +140,7 @@ def _compare(rows: DataFrame, radius: int) -> DataFrame:
             u, v = links(key, fp)
             yield pa.record_batch([u.view(np.int64), v.view(np.int64)], names=["u", "v"])
 
-    return rows.select("key", "fp").mapInArrow(over, "u long, v long")
+    return rows.select("key", "fp").mapInArrow(tidy(over), "u long, v long")
 
 
 def _hot_links(rows: DataFrame, sizes: DataFrame, radius: int, tile: int) -> DataFrame:
@@ -186,6 +186,7 @@ def simhash_groups(docs: DataFrame, shingle: int = 3, radius: int = 3, id_col: s
     Copies share a fingerprint, so links are found between distinct fingerprints only. Other columns
     are ignored.
     """
+    bounded_batches(docs.sparkSession)
     prints = durable(_fingerprints(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), shingle), "simhash")
     nodes = connected_components(simhash_links(prints, radius, hot, tile))
     firsts = prints.groupBy("fp").agg(F.min("id").alias("first"))

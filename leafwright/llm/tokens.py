@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh_path
+from .common import CACHES, bounded_batches, fresh_path, tidy
 
 # The classes of the vocabulary's own splitting rule, for characters that neither normalisation nor
 # lower-casing can join with their neighbours: ASCII and the accented Latin letters.
@@ -62,7 +62,7 @@ class CachedTokenizer:
     whole library. The caches hold about twice `most` entries, so memory is bounded.
     """
 
-    def __init__(self, path: str, most: int = 200_000):
+    def __init__(self, path: str, most: int = 80_000):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
@@ -125,16 +125,15 @@ class CachedTokenizer:
         return self.encode_array(pa.array([text]))[0].tolist()
 
 
-_LOADED: dict[str, CachedTokenizer] = {}
-
-
 def _tokenizer(path: str) -> CachedTokenizer:
-    if path not in _LOADED:
-        _LOADED[path] = CachedTokenizer(path)
-    return _LOADED[path]
+    """Kept by the Python worker from task to task."""
+    name = f"tokens:{path}"
+    if name not in CACHES:
+        CACHES[name] = CachedTokenizer(path)
+    return CACHES[name]
 
 
-def _parts(batch: pa.RecordBatch, rows: int = 2048, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def _parts(batch: pa.RecordBatch, rows: int = 2048, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of some thousand rows, with about `most` bytes of text at most (a text alone may be longer)."""
     size = np.cumsum(pc.binary_length(batch.column("text")).to_numpy())
     at = 0
@@ -158,6 +157,7 @@ def write_tokens(docs: DataFrame, out: str, tokenizer: str, end_id: int = 1, id_
     Each text gets end_id after its last token; null counts as empty. Null ids come first. Rows that
     repeat an id are ordered by their text. Other columns are ignored.
     """
+    bounded_batches(docs.sparkSession)
     base = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     base = base.withColumn("tie", F.xxhash64("text"))
     dealt = base.repartitionByRange(F.col("id").asc_nulls_first(), F.col("tie")).sortWithinPartitions(F.col("id").asc_nulls_first(), "tie", "text")
@@ -178,7 +178,7 @@ def write_tokens(docs: DataFrame, out: str, tokenizer: str, end_id: int = 1, id_
                 before += int(ends[-1])
 
     schema = dealt.select("id", "part").schema.add("offset", "long").add("n_tokens", "long").add("tokens", T.ArrayType(T.IntegerType()))
-    rows = dealt.mapInArrow(over, schema)
+    rows = dealt.mapInArrow(tidy(over, keep=f"tokens:{tokenizer}"), schema)
     writer = rows.write.option("parquet.block.size", row_group_mb << 20).option("parquet.page.size", page_kb << 10)
     writer = writer.option("parquet.enable.dictionary", "true").option("parquet.dictionary.page.size", 4 << 20).option("parquet.writer.version", "v2")
     for column in ("id", "offset", "n_tokens"):
@@ -208,6 +208,7 @@ def read_tokens(spark: SparkSession, path: str, ids: list[int] | None = None) ->
 def token_digests(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataFrame:
     """Per document of the files: (id, start, n_tokens, ids_crc32). n_tokens counts what was read; the
     checksum is the unsigned CRC-32 of the ids as little-endian unsigned 32-bit integers."""
+    bounded_batches(spark)
     rows = spark.read.parquet(path)
 
     def over(batches):
@@ -218,7 +219,7 @@ def token_digests(spark: SparkSession, path: str, id_col: str = "doc_id") -> Dat
             yield pa.record_batch([b.column("id"), b.column("part"), b.column("offset"), pa.array(np.diff(at).astype(np.int64)), pa.array(crc, pa.int64())], names=["id", "part", "offset", "n_tokens", "ids_crc32"])
 
     schema = rows.select("id", "part", "offset").schema.add("n_tokens", "long").add("ids_crc32", "long")
-    got = rows.select("id", "part", "offset", "tokens").mapInArrow(over, schema)
+    got = rows.select("id", "part", "offset", "tokens").mapInArrow(tidy(over), schema)
     return _with_start(got, rows.select("part", "n_tokens")).select(F.col("id").alias(id_col), "start", "n_tokens", "ids_crc32")
 
 

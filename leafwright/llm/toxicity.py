@@ -5,14 +5,14 @@ from __future__ import annotations
 import pickle
 import re
 from collections.abc import Iterator
-from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import bounded_batches, durable, tidy
 
 _WORD = re.compile(r"\w+")
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -147,7 +147,7 @@ class KneserNey:
         return np.add.reduceat(diff, np.cumsum(w.size) - w.size)
 
 
-def features(texts: list[str | None], model: KneserNey, cache: dict[str, float], most: int = 500_000) -> np.ndarray:
+def features(texts: list[str | None], model: KneserNey, cache: dict[str, float], most: int = 200_000) -> np.ndarray:
     """Per text: log-likelihood ratio a word; the mean of the largest three; the largest; the mean of the
     positive ones over the square root of the length. All are zero for a text without words."""
     docs = [_WORD.findall(t.lower()) if t else [] for t in texts]
@@ -167,19 +167,14 @@ def features(texts: list[str | None], model: KneserNey, cache: dict[str, float],
 
 
 class Toxicity:
-    """A KneserNey model with a logistic curve that turns its ratios into a score from 0 to 1.
+    """A KneserNey model, broadcast once, with a logistic curve that turns its ratios into a score from 0 to 1."""
 
-    The model is kept packed, and unpacked where it is used, once a process: the driver only passes it on."""
+    def __init__(self, handle: Broadcast):
+        self.handle, self.mean, self.scale, self.weights = handle, np.zeros(4), np.ones(4), np.zeros(5)
 
-    def __init__(self, packed: bytes):
-        self.packed, self.mean, self.scale, self.weights = packed, np.zeros(4), np.ones(4), np.zeros(5)
-
-    def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k != "model"}
-
-    @cached_property
+    @property
     def model(self) -> KneserNey:
-        return pickle.loads(self.packed)  # made by _fit
+        return self.handle.value
 
     def calibrate(self, x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 50) -> None:
         if not len(y) or y.min() == y.max():
@@ -226,6 +221,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 6_000, m
     are not counted, so the model is bounded too. Rows without text, id or label are left out.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     mine = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y in (0, 1)")
     mine = mine.where(~held_out(F.col("id"))).groupBy("id").agg(F.max("y").alias("y")).withColumn("h", F.xxhash64("id"))
     picked = None
@@ -238,16 +234,17 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 6_000, m
     counts = rows.where("not fold").select("y", F.explode(words).alias("w")).groupBy("w").agg(F.count_if(F.col("y") == 0).alias("a"), F.count_if(F.col("y") == 1).alias("b"))
     # one task, of at most most_words rows, makes the model
     pieces = counts.orderBy(F.desc(F.col("a") + F.col("b")), "w").limit(most_words).coalesce(1).mapInArrow(_fit, "at long, piece binary").collect()
-    tox = Toxicity(b"".join(r.piece for r in sorted(pieces)) or pickle.dumps(KneserNey([], np.zeros((2, 0)))))
-    handle = spark.sparkContext.broadcast(tox)
+    packed = b"".join(r.piece for r in sorted(pieces))
+    tox = Toxicity(spark.sparkContext.broadcast(pickle.loads(packed) if packed else KneserNey([], np.zeros((2, 0)))))
+    del packed, pieces
 
     def over(batches):
         cache: dict[str, float] = {}
         for b in batches:
-            x = features(b.column("text").to_pylist(), handle.value.model, cache)
+            x = features(b.column("text").to_pylist(), tox.model, cache)
             yield pa.record_batch([pa.array(c) for c in x.T] + [b.column("y")], names=["f0", "f1", "f2", "f3", "y"])
 
-    fit = rows.where("fold").select("text", "y").mapInArrow(over, "f0 double, f1 double, f2 double, f3 double, y int").toArrow()
+    fit = rows.where("fold").select("text", "y").mapInArrow(tidy(over), "f0 double, f1 double, f2 double, f3 double, y int").toArrow()
     tox.calibrate(np.stack([fit.column(i).to_numpy() for i in range(4)], axis=1), fit.column("y").to_numpy().astype(float))
     return tox
 
@@ -259,10 +256,9 @@ def score_toxicity(docs: DataFrame, tox: Toxicity, threshold: float = 0.7, id_co
     ordinary model. Null and empty texts are scored as texts without words. Ids may be null or repeat.
     The model (bounded by the training sample) is sent to the executors; documents are not shuffled.
     """
-    handle = docs.sparkSession.sparkContext.broadcast(tox)
+    bounded_batches(docs.sparkSession)
 
     def over(batches):
-        tox = handle.value
         cache: dict[str, float] = {}
         for batch in batches:
             for b in (batch.slice(i, 500) for i in range(0, batch.num_rows, 500)):
@@ -270,20 +266,19 @@ def score_toxicity(docs: DataFrame, tox: Toxicity, threshold: float = 0.7, id_co
                 yield pa.record_batch([b.column("id"), b.column("held_out"), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=["id", "held_out", "score", "predicted"])
 
     base = docs.select(F.col(id_col).alias("id"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).alias("text"))
-    out = base.mapInArrow(over, base.select("id", "held_out").schema.add("score", "double").add("predicted", "integer"))
+    out = base.mapInArrow(tidy(over), base.select("id", "held_out").schema.add("score", "double").add("predicted", "integer"))
     return out.withColumnRenamed("id", id_col)
 
 
 def drop_toxic(docs: DataFrame, tox: Toxicity, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
     """docs (all columns) without those whose score reaches the threshold; nothing is shuffled."""
-    handle = docs.sparkSession.sparkContext.broadcast(tox)
+    bounded_batches(docs.sparkSession)
 
     def over(batches):
-        tox = handle.value
         cache: dict[str, float] = {}
         for batch in batches:
             for b in (batch.slice(i, 500) for i in range(0, batch.num_rows, 500)):
                 s = tox.score(features(b.column(text_col).to_pylist(), tox.model, cache))
                 yield b.filter(pa.array(s < threshold))
 
-    return docs.mapInArrow(over, docs.schema)
+    return docs.mapInArrow(tidy(over), docs.schema)
