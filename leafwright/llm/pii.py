@@ -4,6 +4,8 @@ span classifier decides. SQL operations only; what is fitted are small tables of
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -39,7 +41,7 @@ GAZETTEER = {
     "phone": r"^(?:\+(?:1|2[07]|3[0-469]|4[0-9]|5[1-8]|6[0-6]|7|8[1246]|9[0-58])|\(?[2-9][0-9]{2})",
 }
 _OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
-_NEEDS = {"email": "@", "phone": "+", "more email": "(", "more phone": None, "ip": ".", "card": None}
+_NEEDS = {"email": "@", "phone": "+", "more email": "([", "more phone": None, "ip": ".", "card": None}  # one of these characters
 
 
 def _found(text: Column, pattern: str) -> Column:
@@ -107,7 +109,7 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         for kind, pattern in patterns.items():
             need, found = _NEEDS[f"{group}{kind}"], _found(t, pattern)
             if need:
-                found = F.when(F.instr(t, need) > 0, found)
+                found = F.when(reduce(or_, [F.instr(t, c) > 0 for c in need]), found)
             elif kind == "card":  # shorter numbers are never cards
                 found = F.when(t.rlike(r"[0-9](?:[\x20-]?[0-9]){15}"), found)
             elif kind == "phone":

@@ -94,6 +94,12 @@ def test_pii(spark):
         assert order == sorted(order)
 
 
+def test_addresses_in_square_brackets(spark):
+    docs = [(1, "mail me [at] home [dot] org"), (2, "mail me (at) home (dot) org"), (3, "mail me at home dot org"), (4, "write to a.b[AT]c-d[dot]co(dot)uk now")]
+    got = {r.id: [(x.k, x.s, x.v) for x in r.spans] for r in pii.candidates(spark.createDataFrame(docs, "doc_id long, text string")).select("id", F.expr("transform(spans, x -> named_struct('k', x.k, 's', x.s, 'v', x.e - x.s))").alias("spans")).collect()}
+    assert got == {1: [(0, 5, 22)], 2: [(0, 5, 22)], 3: [], 4: [(0, 9, 24)]}
+
+
 def test_pii_edges(odd, none):
     assert pii.find_pii(odd).where("n_email + n_ip + n_card + n_phone + n_added = 0").count() == odd.count()
     assert pii.find_pii(none).count() == 0
