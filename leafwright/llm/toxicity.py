@@ -26,8 +26,8 @@ def _mix(h: np.ndarray) -> np.ndarray:
 class Words:
     """Letters of many words in one array, each with a start mark before and an end mark after it."""
 
-    def __init__(self, words: list[str], most: int = 64):
-        marked = ["\x02" + w[:most] + "\x03" for w in words]
+    def __init__(self, words: list[str]):
+        marked = ["\x02" + w + "\x03" for w in words]
         self.size = np.fromiter(map(len, marked), np.int64, len(marked))
         self.letters = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), dtype="<u4")
         starts = np.cumsum(self.size) - self.size
@@ -45,6 +45,31 @@ class Words:
             yield n, np.where(self.depth >= n, h | np.uint64(1), np.uint64(0))
 
 
+def _parts(words: list[str], order: int, most: int) -> Iterator[tuple[Words, np.ndarray, np.ndarray]]:
+    """All letters of the words in parts of about `most` letters: the part, which word each of its pieces is of, and
+    which of its letters are spoken of here. Pieces of a longer word repeat order + 1 letters of the piece before."""
+    pieces: list[tuple[int, int, bool, str]] = []
+    size = 0
+
+    def pack():
+        of, lead, goes_on, text = zip(*pieces)
+        w = Words(list(text))
+        mine = w.depth > np.repeat(np.array(lead) + 1, w.size)  # the start mark is given, not predicted
+        mine[(np.cumsum(w.size) - 1)[np.array(goes_on)]] = False
+        return w, np.array(of), mine
+
+    for i, word in enumerate(words):
+        for at in range(0, max(1, len(word)), most):
+            first = max(0, at - order - 1)
+            pieces.append((i, at - first, at + most < len(word), word[first : at + most]))
+            size += len(pieces[-1][3]) + 2
+            if size >= most:
+                yield pack()
+                pieces, size = [], 0
+    if pieces:
+        yield pack()
+
+
 def _shift(g: np.ndarray) -> np.ndarray:
     """What stood one place before."""
     out = np.empty_like(g)
@@ -118,11 +143,15 @@ class KneserNey:
         total, kinds = Table(ctx, one), Table(ctx[k], one[:, : len(k)])
         self.lower.append((Table(gram[at], one), Table.of(total.keys, np.concatenate([total.values, kinds(total.keys)]))))
 
-    def ratios(self, words: list[str]) -> np.ndarray:
-        """log P(word | class 1) - log P(word | class 0) for each word."""
-        if not words:
-            return np.empty(0)
-        w, d = Words(words), self.discount
+    def ratios(self, words: list[str], most: int = 200_000) -> np.ndarray:
+        """log P(word | class 1) - log P(word | class 0) for each word, of all its letters; about `most` letters at a time."""
+        out = np.zeros(len(words))
+        for w, of, mine in _parts(words, self.order, most):
+            np.add.at(out, of, np.add.reduceat(np.where(mine, self._letter_ratios(w), 0), np.cumsum(w.size) - w.size))
+        return out
+
+    def _letter_ratios(self, w: Words) -> np.ndarray:
+        d = self.discount
         p = np.full(len(w.letters), 1.0 / self.letters)
         full, context, gram = np.zeros(len(p), np.uint64), np.zeros(len(p), np.uint64), None
         for n, longer in w.grams(self.order):
@@ -143,8 +172,7 @@ class KneserNey:
             better = (np.maximum(seen[k] - d, 0) + d * kinds * p) / np.maximum(total, 1e-9)
             logs.append(np.log(np.where(total > 0, better, p)))
         known = seen.sum(axis=0) > 0  # what neither class has seen is left to the backoff that they share
-        diff = np.where((w.depth > 1) & known, logs[1] - logs[0], 0)
-        return np.add.reduceat(diff, np.cumsum(w.size) - w.size)
+        return np.where(known, logs[1] - logs[0], 0)
 
 
 def features(texts: list[str | None], model: KneserNey, cache: dict[str, float], most: int = 200_000) -> np.ndarray:
@@ -153,16 +181,18 @@ def features(texts: list[str | None], model: KneserNey, cache: dict[str, float],
     docs = [_WORD.findall(t.lower()) if t else [] for t in texts]
     if len(cache) > most:
         cache.clear()
-    if new := [w for w in {w for d in docs for w in d} if w not in cache]:
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            cache.update(zip(part, model.ratios(part).tolist()))
+    new = [w for w in {w for d in docs for w in d} if w not in cache]
+    if new:
+        cache.update(zip(new, model.ratios(new).tolist()))
     out = np.zeros((len(docs), 4))
     for row, words in zip(out, docs):
         if words:
             v = np.fromiter(map(cache.__getitem__, words), np.float64, len(words))
             top = np.partition(np.concatenate([v, [0, 0]]), len(v) - 1)[-3:] if len(v) > 0 else v
             row[:] = v.mean(), top.mean(), top.max(), v[v > 2].sum() / np.sqrt(len(v))
+    for w in new:
+        if len(w) > 64:  # long runs are scored whole, but hardly come again
+            del cache[w]
     return out
 
 

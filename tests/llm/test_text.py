@@ -164,6 +164,18 @@ def test_unseen_words_speak_for_neither():
     assert r["vile"] > 2 and r["viles"] > 2 and abs(r["qqqq"]) < 0.5 and r["alpha"] < 1
 
 
+def test_long_runs_are_scored_to_their_end():
+    m = toxicity.KneserNey(["aaaaaaalpha", "bbbbbbvilest"], np.array([[9, 0], [0, 9]]))
+    ends = ["0" * 80 + "bbbbbbvilest", "0" * 80 + "aaaaaaalpha", "bbbbbbvilest" * 30, "", "vile"]
+    whole = m.ratios(ends)
+    assert m.ratios(["0" * 92])[0] == 0 and whole[0] > 2 > 0 > whole[1] and whole[2] > 20 * whole[0]
+    for most in (8, 13, 50):  # pieces of a run speak for what the run says
+        assert np.allclose(m.ratios(ends, most), whole)
+    cache = {}
+    x = toxicity.features([ends[0], ends[1]], m, cache)
+    assert x[0, 2] > 2 > x[1, 2] and not cache
+
+
 def toxic_corpus(spark, n=900):
     rng = random.Random(9)
     words = ["".join(rng.choice("aeioulnrst") for _ in range(rng.randint(2, 7))) for _ in range(400)]
