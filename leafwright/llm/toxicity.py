@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import pickle
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -132,6 +132,16 @@ class KneserNey:
         total, kinds = Table(context, each), Table(context[at], (self.seen(pair) > 0).astype(np.float32))
         self.after = Table.of(total.keys, np.concatenate([total.values, kinds(total.keys)]))
 
+    @classmethod
+    def of(cls, tables: dict[tuple[int, bool], Table], order: int = 6, discount: float = 0.75) -> KneserNey:
+        """From tables by (n, of contexts): n = 0 is the highest order, 1 .. order - 1 are the continuation counts."""
+        out = cls.__new__(cls)
+        out.order, out.discount, out.classes = order, discount, 2
+        out.seen, out.after = tables[0, False], tables[0, True]
+        out.lower = [(tables[n, False], tables[n, True]) for n in range(1, order)]
+        out.letters = max(2, len(out.lower[0][0].keys) + 1)  # the start mark has no count
+        return out
+
     def _count(self, w: Words, letter: np.ndarray, n: int, shorter: np.ndarray, gram: np.ndarray, longer: np.ndarray) -> None:
         ok = (w.depth >= n) & letter
         _, at = np.unique(np.where(w.depth > n, longer, gram)[ok], return_index=True)
@@ -226,16 +236,99 @@ class Toxicity:
         return 1 / (1 + np.exp(-np.clip(a @ self.weights, -30, 30)))
 
 
-def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Word counts -> the packed model, in pieces."""
-    words: list[str] = []
-    counts = []
-    for b in batches:
-        words += b.column("w").to_pylist()
-        counts.append(np.stack([b.column("a").to_numpy(), b.column("b").to_numpy()]))
-    packed = pickle.dumps(KneserNey(words, np.concatenate(counts, axis=1) if counts else np.zeros((2, 0))))
-    for i in range(0, len(packed), 4 << 20):
-        yield pa.record_batch([pa.array([i], pa.int64()), pa.array([packed[i : i + (4 << 20)]], pa.binary())], names=["at", "piece"])
+_WIDTH = {(0, False): 2, (0, True): 4} | {(n, c): 1 + c for n in range(1, 16) for c in (False, True)}  # values of a row of each table
+
+
+def _grams(order: int, most: int = 1 << 20):
+    """Word counts -> what they count: for n = 0 each highest-order gram with its counts, for n = 1 .. order - 1 each
+    different gram of n letters with the letter before it (key), the gram, and the gram's context."""
+
+    def rows(words: list[str], a: np.ndarray, b: np.ndarray):
+        for w, of, mine in _parts(words, order, most):
+            before = np.maximum(np.arange(len(mine)) - 1, 0)
+            full, context = np.zeros(len(mine), np.uint64), np.zeros(len(mine), np.uint64)
+            shorter = gram = None
+            for n, longer in w.grams(order):
+                if n >= 2:
+                    ok = mine & (w.depth >= n - 1)
+                    key, at = np.unique(np.where(w.depth > n - 1, longer, gram)[ok], return_index=True)
+                    at = np.flatnonzero(ok)[at]
+                    none = np.zeros(len(at), np.int64)
+                    yield n - 1, key, gram[at], shorter[before[at]] if n > 2 else np.full(len(at), 1, np.uint64), none, none
+                if n >= 1:
+                    here = np.minimum(w.depth, order) == n
+                    full[here] = longer[here]
+                    context[here] = _shift(gram)[here] if n > 1 else 1
+                shorter, gram = gram, longer
+            key, at, back = np.unique(full[mine], return_index=True, return_inverse=True)
+            each = np.repeat(of, w.size)[mine]
+            yield 0, key, key, context[mine][at], *(np.bincount(back, c[each], len(key)).astype(np.int64) for c in (a, b))
+
+    def over(batches):
+        words, a, b, size = [], [], [], 0
+
+        def out():
+            for n, key, gram, context, x, y in rows(words, np.concatenate(a), np.concatenate(b)):
+                for i in range(0, len(key), 1 << 16):
+                    part = [pa.array(c[i : i + (1 << 16)].view(np.int64)) for c in (key, gram, context, x, y)]
+                    yield pa.record_batch([pa.array(np.full(len(part[0]), n, np.int32)), *part], names=["n", "key", "gram", "context", "a", "b"])
+
+        for batch in batches:
+            words += batch.column("w").to_pylist()
+            a.append(batch.column("a").to_numpy())
+            b.append(batch.column("b").to_numpy())
+            size += pc.sum(pc.utf8_length(batch.column("w"))).as_py() or 0
+            if size >= most:
+                yield from out()
+                words, a, b, size = [], [], [], 0
+        if words:
+            yield from out()
+
+    return over
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (n, contexts, key, v0 .. v3) -> a row with packed keys and values for each table."""
+    seen: dict[tuple[int, bool], list[np.ndarray]] = {}
+    for batch in batches:
+        n, c, key, *values = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(7))
+        for table in {(int(x) // 2, bool(x % 2)) for x in np.unique(2 * n + c)}:
+            at = (n == table[0]) & (c == table[1])
+            packed = np.stack([v[at].astype("<f4") for v in values[: _WIDTH[table]]])
+            seen.setdefault((*table, 0), []).append(key[at].astype("<i8"))
+            seen.setdefault((*table, 1), []).append(packed)
+    for n, c in {k[:2] for k in seen}:
+        keys, values = np.concatenate(seen[n, c, 0]), np.concatenate(seen[n, c, 1], axis=1)
+        for i in range(0, len(keys), 1 << 18):
+            part = [keys[i : i + (1 << 18)].tobytes(), np.ascontiguousarray(values[:, i : i + (1 << 18)]).tobytes()]
+            yield pa.record_batch([pa.array([n], pa.int32()), pa.array([c]), *(pa.array([x], pa.binary()) for x in part)], names=["n", "contexts", "keys", "counts"])
+
+
+def count_model(counts: DataFrame, order: int = 6) -> KneserNey:
+    """The model of all words of counts (w, a, b: in how many documents of each class a word is). Grams, their
+    continuations and contexts are counted by Spark; the driver gets the finished tables, a piece at a time."""
+    grams = counts.mapInArrow(tidy(_grams(order)), "n int, key long, gram long, context long, a long, b long")
+    grams = grams.groupBy("n", "key").agg(F.first("gram").alias("gram"), F.first("context").alias("context"), F.sum("a").alias("a"), F.sum("b").alias("b"))
+    grams = grams.groupBy("n", "gram").agg(F.first("context").alias("context"), F.count("*").alias("c"), F.sum("a").alias("a"), F.sum("b").alias("b"))
+    grams = durable(grams, "toxicity-grams")
+    top, none = F.col("n") == 0, F.lit(0).cast("long")
+    follow = grams.groupBy("n", "context").agg(F.sum("c").alias("total"), F.count("*").alias("kinds"), F.sum("a").alias("a"), F.sum("b").alias("b"), F.count_if(F.col("a") > 0).alias("ka"), F.count_if(F.col("b") > 0).alias("kb"))
+    rows = grams.select("n", F.lit(False).alias("contexts"), F.col("gram").alias("key"), F.when(top, F.col("a")).otherwise(F.col("c")).alias("v0"), F.col("b").alias("v1"), none.alias("v2"), none.alias("v3"))
+    rows = rows.unionByName(follow.select("n", F.lit(True).alias("contexts"), F.col("context").alias("key"), F.when(top, F.col("a")).otherwise(F.col("total")).alias("v0"),
+                                          F.when(top, F.col("b")).otherwise(F.col("kinds")).alias("v1"), F.col("ka").alias("v2"), F.col("kb").alias("v3")))
+    pieces: dict[tuple[int, bool], list[tuple[np.ndarray, np.ndarray]]] = {}
+    for r in durable(rows.mapInArrow(tidy(_pack), "n int, contexts boolean, keys binary, counts binary"), "toxicity-model").toLocalIterator():
+        keys = np.frombuffer(r["keys"], "<u8")
+        pieces.setdefault((r["n"], r["contexts"]), []).append((keys, np.frombuffer(r["counts"], "<f4").reshape(-1, len(keys))))
+    tables = {}
+    for n in range(order):
+        for c in (False, True):
+            mine = pieces.pop((n, c), [(np.empty(0, np.uint64), np.empty((_WIDTH[n, c], 0), np.float32))])
+            keys = np.concatenate([k for k, _ in mine])
+            at = np.argsort(keys)
+            tables[n, c] = Table.of(keys[at], np.concatenate([v for _, v in mine], axis=1)[:, at])
+            del mine, keys, at
+    return KneserNey.of(tables, order)
 
 
 def held_out(id_) -> F.Column:
@@ -243,12 +336,11 @@ def held_out(id_) -> F.Column:
     return F.coalesce(F.crc32(id_.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def train_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 6_000, most_words: int = 200_000, id_col: str = "doc_id", text_col: str = "text",
+def train_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 6_000, id_col: str = "doc_id", text_col: str = "text",
                    label_col: str = "toxic") -> Toxicity:
-    """Fits the models on labelled rows that are not held out: at most per_class of each class (the
-    documented bound), those with the smallest hashes of their ids. Three quarters of them make the
-    counts, the rest the calibration. Of more than most_words distinct words those in fewest documents
-    are not counted, so the model is bounded too. Rows without text, id or label are left out.
+    """Fits the models on all labelled rows that are not held out. The logistic curve is fitted on at most
+    per_class rows of each class, those of a quarter with the smallest hashes of their ids; all other rows
+    make the counts, which grow with the input. Rows without text, id or label are left out.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -256,17 +348,16 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 6_000, m
     mine = mine.where(~held_out(F.col("id"))).groupBy("id").agg(F.max("y").alias("y")).withColumn("h", F.xxhash64("id"))
     picked = None
     for y in (0, 1):
-        part = mine.where(F.col("y") == y).orderBy("h", "id").limit(per_class)
+        part = mine.where((F.col("y") == y) & (F.pmod("h", F.lit(4)) == 0)).orderBy("h", "id").limit(per_class)
         picked = part if picked is None else picked.unionByName(part)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null").join(picked, "id")
-    rows = durable(rows.select("text", "y", (F.pmod("h", F.lit(4)) == 0).alias("fold")), "toxicity-train")
+    picked = durable(picked.select("id", "y"), "toxicity-picked")
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null")
+    # the sample is bounded, so it is sent to the texts
+    sample = durable(texts.join(F.broadcast(picked), "id").select("text", "y"), "toxicity-train")
+    rest = texts.join(mine.join(F.broadcast(picked.select("id")), "id", "left_anti").select("id", "y"), "id")
     words = F.array_distinct(F.expr(r"regexp_extract_all(lower(text), '(?U)\\w+', 0)"))
-    counts = rows.where("not fold").select("y", F.explode(words).alias("w")).groupBy("w").agg(F.count_if(F.col("y") == 0).alias("a"), F.count_if(F.col("y") == 1).alias("b"))
-    # one task, of at most most_words rows, makes the model
-    pieces = counts.orderBy(F.desc(F.col("a") + F.col("b")), "w").limit(most_words).coalesce(1).mapInArrow(_fit, "at long, piece binary").collect()
-    packed = b"".join(r.piece for r in sorted(pieces))
-    tox = Toxicity(spark.sparkContext.broadcast(pickle.loads(packed) if packed else KneserNey([], np.zeros((2, 0)))))
-    del packed, pieces
+    counts = rest.select("y", F.explode(words).alias("w")).groupBy("w").agg(F.count_if(F.col("y") == 0).alias("a"), F.count_if(F.col("y") == 1).alias("b"))
+    tox = Toxicity(spark.sparkContext.broadcast(count_model(counts)))
 
     def over(batches):
         cache: dict[str, float] = {}
@@ -274,7 +365,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 6_000, m
             x = features(b.column("text").to_pylist(), tox.model, cache)
             yield pa.record_batch([pa.array(c) for c in x.T] + [b.column("y")], names=["f0", "f1", "f2", "f3", "y"])
 
-    fit = rows.where("fold").select("text", "y").mapInArrow(tidy(over), "f0 double, f1 double, f2 double, f3 double, y int").toArrow()
+    fit = sample.mapInArrow(tidy(over), "f0 double, f1 double, f2 double, f3 double, y int").toArrow()
     tox.calibrate(np.stack([fit.column(i).to_numpy() for i in range(4)], axis=1), fit.column("y").to_numpy().astype(float))
     return tox
 
@@ -284,7 +375,8 @@ def score_toxicity(docs: DataFrame, tox: Toxicity, threshold: float = 0.7, id_co
 
     The score compares length-normalised log-likelihoods of the whole text under the toxic and the
     ordinary model. Null and empty texts are scored as texts without words. Ids may be null or repeat.
-    The model (bounded by the training sample) is sent to the executors; documents are not shuffled.
+    The model (which grows with the different grams of the labelled texts) is sent to the executors;
+    documents are not shuffled.
     """
     bounded_batches(docs.sparkSession)
 

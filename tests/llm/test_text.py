@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -176,6 +177,34 @@ def test_long_runs_are_scored_to_their_end():
     assert x[0, 2] > 2 > x[1, 2] and not cache
 
 
+def test_model_counted_in_spark_equals_the_local_one(spark):
+    rng = random.Random(12)
+    counts = {"".join(rng.choice("abcdeé😀_1") for _ in range(rng.choice([1, 2, 3, 5, 8, 30]))): (rng.randint(0, 5), rng.randint(0, 5)) for _ in range(600)}
+    words = sorted(counts)
+    want = toxicity.KneserNey(words, np.array([counts[w] for w in words]).T)
+    got = toxicity.count_model(spark.createDataFrame([(w, *counts[w]) for w in words], "w string, a long, b long").repartition(5))
+    assert got.letters == want.letters and len(got.lower) == len(want.lower)
+    for a, b in [(got.seen, want.seen), (got.after, want.after), *((x[i], y[i]) for x, y in zip(got.lower, want.lower) for i in (0, 1))]:
+        assert (a.keys == b.keys).all() and (a.values == b.values).all()
+    assert np.allclose(got.ratios(words + ["zz", "abcab"]), want.ratios(words + ["zz", "abcab"]))
+    parts = list(toxicity._grams(6, 40)([pa.RecordBatch.from_pydict({"w": ["ab" * 100], "a": [3], "b": [1]})]))
+    top = [r for p in parts for r in p.to_pylist() if r["n"] == 0]
+    assert sum(r["a"] for r in top) == 3 * 201 and sum(r["b"] for r in top) == 201
+
+
+def test_counts_take_all_labelled_rows(spark):
+    docs, labels, truth = toxic_corpus(spark, 400)
+    free = [i for i in truth if zlib.crc32(str(i).encode()) % 3 != 1]
+    tox = toxicity.train_toxicity(docs, labels, per_class=10)
+    text = {r.doc_id: r.text for r in docs.collect()}
+    total = {y: sum(len(w) + 1 for i in free if truth[i] == y for w in set(text[i].split())) for y in (0, 1)}
+    spare = {y: 10 * 200 * 13 for y in (0, 1)}  # more than ten texts can hold
+    for y in (0, 1):  # nothing but the calibration sample is left out of the counts
+        n = sum(truth[i] == y for i in free)
+        got = float(tox.model.seen.values[y].sum(dtype=float))
+        assert total[y] - spare[y] <= got < total[y] and (y or got > total[0] * (n - 12) / n * 0.95)
+
+
 def toxic_corpus(spark, n=900):
     rng = random.Random(9)
     words = ["".join(rng.choice("aeioulnrst") for _ in range(rng.randint(2, 7))) for _ in range(400)]
