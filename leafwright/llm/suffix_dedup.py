@@ -89,7 +89,7 @@ class Rule:
 
 
 def _pieces(texts: list[bytes], length: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """The texts in buffers of about _PIECE bytes: bytes, segment of each byte, and the row and place of
+    """The texts in buffers of about _PIECE bytes, never more than _PLACE can number: bytes, segment of each byte, and the row and place of
     each segment. A longer text comes in several segments that share length - 1 bytes."""
     parts: list[tuple[int, int, bytes]] = []
     size = 0
@@ -104,6 +104,9 @@ def _pieces(texts: list[bytes], length: int) -> Iterator[tuple[np.ndarray, ...]]
             part = text[at : at + _PIECE + length - 1]
             if len(part) < length:
                 continue
+            if size + len(part) > int(_PLACE):
+                yield pack()
+                parts, size = [], 0
             parts.append((row, at, part))
             size += len(part)
             if size >= _PIECE:

@@ -171,6 +171,21 @@ def test_repeats_edges(odd, none):
     assert suffix_dedup.remove_repeats(odd).count() == odd.count()
 
 
+def test_buffers_fit_their_places():
+    rng = np.random.default_rng(5)
+    texts = [rng.integers(97, 123, n, dtype=np.uint8).tobytes() for n in ((1 << 20) - 1, (1 << 20) + 200, 500, 60)]
+    last, seen = 0, {i: set() for i in range(len(texts))}
+    for buf, segment, rows, places, starts in suffix_dedup._pieces(texts, 50):
+        assert len(buf) < 1 << 21
+        for row, place, start, size in zip(rows, places, starts, np.bincount(segment)):
+            assert buf[start : start + size].tobytes() == texts[row][place : place + size]
+            seen[row].add((place, place + size - 49))
+        first, ends, at = suffix_dedup.Rule(50, 24, 64, 64, 1000).anchors(buf, segment)[1:4]
+        assert ((at >= first) & (at <= ends + 26) & (at >= ends)).all()  # each window holds its anchor
+    for row, spans in seen.items():  # every window is in one segment
+        assert [b for _, b in sorted(spans)][:-1] == [a for a, _ in sorted(spans)][1:] and max(spans)[1] == len(texts[row]) - 49
+
+
 def test_long_text_in_pieces(spark, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "_PIECE", 100)
     docs = [(i, t.encode()) for i, t in corpus(2, 20)]
