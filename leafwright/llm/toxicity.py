@@ -26,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
@@ -220,13 +220,13 @@ def _word_counts(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(tidy(over), "w string, a long, b long").groupBy("w").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
 
 
-_GRAM_SCHEMA = "top boolean, n int, key long, gram long, context long, suffix long, a long, b long"
+_GRAM_SCHEMA = "n int, gram long, context long, suffix long, letter int, a long, b long"
 
 
 def _grams(order: int, most: int = 1 << 20):
-    """Word counts (w, a, b) -> what they count. top: each full gram (n: its length) with its counts. Others: each different
-    gram of n < order letters without a start mark, with the letter before it (key). Both with the gram's context (all but
-    its last letter) and suffix (all but its first)."""
+    """Word counts (w, a, b) -> what they count. n < 0: each full gram (of -n letters) with its counts. n > 0: each gram of
+    n < order letters without a start mark, once with each letter before it. Both with the gram's context (all but its
+    last letter) and suffix (all but its first)."""
 
     def rows(words: list[str], a: np.ndarray, b: np.ndarray):
         for w, of, mine in _parts(words, order, most):
@@ -235,29 +235,30 @@ def _grams(order: int, most: int = 1 << 20):
             for n, gram in w.grams(order):
                 if n >= 2:  # the lower order n - 1 (here `shorter`), told apart by the letter before
                     at = np.flatnonzero(mine & (w.depth >= n))
-                    key, k = np.unique(gram[at], return_index=True)
-                    at, none = at[k], np.zeros(len(k), np.int64)
-                    yield False, np.full(len(at), n - 1), key, shorter[at], _before(before)[at], before[at], none, none
+                    at = at[np.unique(gram[at], return_index=True)[1]]
+                    none = np.zeros(len(at), np.int64)
+                    yield n - 1, shorter[at], _before(before)[at], before[at], w.letters[at - n + 1].astype(np.int32), none, none
                     at = np.flatnonzero(mine & (np.minimum(w.depth, order) == n))
                     key, k, back = np.unique(gram[at], return_index=True, return_inverse=True)
                     a_, b_ = (np.bincount(back, c[each[at]], len(key)).astype(np.int64) for c in (a, b))
-                    yield True, np.full(len(key), n), key, key, _before(shorter)[at[k]], shorter[at[k]], a_, b_
+                    yield -n, key, _before(shorter)[at[k]], shorter[at[k]], np.zeros(len(key), np.int32), a_, b_
                 before, shorter = shorter, gram
 
     def over(batches):
         words, a, b, size = [], [], [], 0
 
         def out():
-            for top, n, *columns in rows(words, np.concatenate(a), np.concatenate(b)):
-                for i in range(0, len(n), 1 << 16):
-                    part = [pa.array(c[i : i + (1 << 16)].view(np.int64)) for c in columns]
-                    yield pa.record_batch([pa.array([top] * len(part[0])), pa.array(n[i : i + (1 << 16)].astype(np.int32)), *part], names=["top", "n", "key", "gram", "context", "suffix", "a", "b"])
+            for n, *columns in rows(words, np.concatenate(a), np.concatenate(b)):
+                for i in range(0, len(columns[0]), 1 << 16):
+                    part = [c[i : i + (1 << 16)] for c in columns]
+                    part = [pa.array(c.view(np.int64) if c.dtype == np.uint64 else c) for c in part]
+                    yield pa.record_batch([pa.array(np.full(len(part[0]), n, np.int32)), *part], names=["n", "gram", "context", "suffix", "letter", "a", "b"])
 
         for batch in batches:
             words += batch.column("w").to_pylist()
             a.append(batch.column("a").to_numpy())
             b.append(batch.column("b").to_numpy())
-            size += sum(map(len, words[-batch.num_rows :]))
+            size += sum(map(len, words[len(words) - batch.num_rows :]))
             if size >= most:
                 yield from out()
                 words, a, b, size = [], [], [], 0
@@ -267,34 +268,30 @@ def _grams(order: int, most: int = 1 << 20):
     return over
 
 
-def letter_ratios(counts: DataFrame, order: int = 8, discount: float = 0.75) -> DataFrame:
+def letter_ratios(counts: DataFrame, order: int = 6, discount: float = 0.75) -> DataFrame:
     """(gram, ratio float): log P_1 / P_0 of the last letter of each full gram, from word counts (w, a, b).
 
     Everything is counted and smoothed by Spark, one order after the other; nothing comes to the driver but the number of
-    different letters."""
-    firsts = [F.first(c).alias(c) for c in ("gram", "context", "suffix")]
-    grams = counts.mapInArrow(tidy(_grams(order)), _GRAM_SCHEMA).groupBy("top", "n", "key").agg(*firsts, F.sum("a").alias("a"), F.sum("b").alias("b"))
-    grams = grams.groupBy("top", "n", "gram").agg(F.first("context").alias("context"), F.first("suffix").alias("suffix"), F.count("*").alias("c"), F.sum("a").alias("a"), F.sum("b").alias("b"))
+    different letters. No group is larger than the alphabet: those of a gram are the letters before it, those of a context
+    the letters after it."""
+    firsts = [F.first(c).alias(c) for c in ("context", "suffix")]
+    grams = counts.mapInArrow(tidy(_grams(order)), _GRAM_SCHEMA).groupBy("n", "gram").agg(*firsts, F.size(F.collect_set("letter")).alias("c"), F.sum("a").alias("a"), F.sum("b").alias("b"))
     grams = durable(grams, "toxicity-grams")
-    d, lower, orders = F.lit(discount), None, None
-    letters = max(2, grams.where("not top and n = 1").count())
+    d, lower, orders, after = F.lit(discount), None, None, Window.partitionBy("context")
+    letters = max(2, grams.where("n = 1").count())
     for n in range(1, order):
-        own = grams.where(~F.col("top") & (F.col("n") == n)).select("gram", "context", "suffix", "c")
-        follow = own.groupBy("context").agg(F.sum("c").alias("total"), F.count("*").alias("kinds"))
-        own = own.join(follow, "context")
+        own = grams.where(F.col("n") == n).select("gram", "suffix", "c", F.sum("c").over(after).alias("total"), F.count("*").over(after).alias("kinds"))
         own = own.withColumn("q", F.lit(1.0 / letters)) if lower is None else own.join(lower.select(F.col("gram").alias("suffix"), F.col("p").alias("q")), "suffix")
         p = (F.greatest(F.col("c") - d, F.lit(0.0)) + d * F.col("kinds") * F.col("q")) / F.col("total")
         lower = durable(own.select("gram", p.alias("p")), "toxicity-order")
-        mine = lower.select(F.lit(n).alias("n"), F.col("gram").alias("suffix"), "p")
+        mine = lower.select(F.col("gram").alias("suffix"), "p")
         orders = mine if orders is None else orders.unionByName(mine)
-    top = grams.where("top").select((F.col("n") - 1).alias("n"), "gram", "context", "suffix", "a", "b")
-    follow = top.groupBy("context").agg(*[x.alias(c) for c, x in zip(("ta", "tb", "ka", "kb"), (F.sum("a"), F.sum("b"), F.count_if(F.col("a") > 0), F.count_if(F.col("b") > 0)))])
 
     def of_class(c: str) -> F.Column:
-        total = F.col(f"t{c}")
-        return F.when(total > 0, (F.greatest(F.col(c) - d, F.lit(0.0)) + d * F.col(f"k{c}") * F.col("p")) / total).otherwise(F.col("p"))
+        return F.when(F.col(f"t{c}") > 0, (F.greatest(F.col(c) - d, F.lit(0.0)) + d * F.col(f"k{c}") * F.col("p")) / F.col(f"t{c}")).otherwise(F.col("p"))
 
-    top = top.join(follow, "context").join(orders, ["n", "suffix"])
+    totals = [x.over(after).alias(c) for c, x in zip(("ta", "tb", "ka", "kb"), (F.sum("a"), F.sum("b"), F.count_if(F.col("a") > 0), F.count_if(F.col("b") > 0)))]
+    top = grams.where("n < 0").select("gram", "suffix", "a", "b", *totals).join(orders, "suffix")  # hashes of different lengths differ
     return durable(top.select("gram", (F.log(of_class("b")) - F.log(of_class("a"))).cast("float").alias("ratio")), "toxicity-ratios")
 
 
@@ -309,13 +306,13 @@ def held_out(id_) -> F.Column:
     return F.coalesce(F.crc32(id_.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def train_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 6_000, order: int = 8, share: float = 0.01, pad: int = 50,
-                   most_grams: int = 16_000_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Toxicity:
+def train_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 6_000, order: int = 6, share: float = 0.01, pad: int = 50,
+                   most_grams: int = 16_000_000, most_labels: int = 1_000_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Toxicity:
     """Fits the models on all words of all labelled rows that are not held out. Only the curve is fitted on a sample: at
     most per_class rows of each class, those of a quarter with the smallest hashes of their ids, which make no counts.
 
-    Up to `most_grams` different grams (12 bytes each) the table of ratios is broadcast; a larger one is joined. Rows without
-    text, id or label are left out; of an id with several labels the largest counts. Without rows of both classes every
+    Up to `most_grams` different grams (12 bytes each) the table of ratios is broadcast; a larger one is joined. So are more
+    than `most_labels` labels. Rows without text, id or label are left out; of an id with several labels the largest counts. Without rows of both classes every
     text has the same low score.
     """
     spark = docs.sparkSession
@@ -330,7 +327,8 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 6_000, o
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null")
     # the sample is bounded, so it is sent to the texts
     sample = durable(texts.join(F.broadcast(picked), "id").select("text", "y"), "toxicity-train")
-    rest = texts.join(mine.join(F.broadcast(picked.select("id")), "id", "left_anti").select("id", "y"), "id")
+    mine = durable(mine.join(F.broadcast(picked.select("id")), "id", "left_anti").select("id", "y"), "toxicity-labels")
+    rest = texts.join(F.broadcast(mine) if mine.count() <= most_labels else mine, "id")
     table = letter_ratios(_word_counts(rest.select("y", "text")), order)
     ratios = None
     if table.count() <= most_grams:
