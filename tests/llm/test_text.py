@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -118,11 +119,51 @@ def test_votes_find_the_reliable_labelers():
         seen[code] = seen.get(code, 0) + 1
     share, yes, no = pii.weigh_votes([(0, v, n) for v, n in seen.items()])[0]
     assert abs(share - 0.6) < 0.05 and yes[0] > 0.9 and no[0] < 0.1 and abs(yes[3] - no[3]) < 0.1
-    w = pii.train_classifier([(0, v, n) for v, n in seen.items()])[0]
-    p = lambda v: sum(a * b for a, b in zip(w, pii._features(v)))
+    shapes = int(np.prod(pii._SIZES))
+    w = pii.train_classifier([(0, v * shapes + rng.randrange(shapes), n) for v, n in seen.items()])[0]
+    p = lambda v: sum(a * b for a, b in zip(w, pii._features(v * shapes)))
     assert p(81 - 1 - 1 - 3) > 0 > p(0)
 
 
+def test_features_go_along_with_what_reliable_labelers_say():
+    """Spans on which the labelers are silent are told apart by their length, which went along with the votes elsewhere."""
+    shapes = int(np.prod(pii._SIZES))
+    long, short = 3 * shapes // 4, 0
+    yes, no, silent = 80 - 27 - 9 - 3 - 1, 0, 80
+    seen = [(0, yes * shapes + long, 900), (0, no * shapes + short, 900), (0, silent * shapes + long, 5), (0, silent * shapes + short, 5)]
+    w = pii.train_classifier(seen)[0]
+    p = [sum(a * b for a, b in zip(w, pii._features(silent * shapes + x))) for x in (long, short)]
+    assert p[0] > 0.3 and p[1] < -0.3
+
+
+def test_the_classifier_decides_what_is_added(spark):
+    """The same forms are added or left, by what stands around them and by what the labelers turn out to be worth."""
+    rng = random.Random(3)
+    key = lambda: "".join(rng.choice("0123456789abcdef") for _ in range(40))
+    docs = [(i, f'token = "{key()}" and call 415-555-{rng.randint(1000, 9999)} now') for i in range(300)]
+    docs += [(i, f"commit {key()}x and order {key()} of invoice 015-555-{rng.randint(1000, 9999)}") for i in range(300, 600)]
+    got = {r.doc_id: r for r in pii.find_pii(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert all(got[i].n_secret == 1 and got[i].n_added == 1 and f"phone:{docs[i][1].index('call ') + 5}:{docs[i][1].index('call ') + 17}" in got[i].spans for i in range(300))
+    assert all(got[i].n_added == 0 for i in range(300, 600)) and sum(got[i].n_secret for i in range(300, 600)) == 300
+    assert got[0].secrets == "9:49" and got[0].n_found == 2 + got[0].n_card
+
+
+def test_many_matches_in_one_text(spark):
+    """A text is matched a fixed number of times: ten thousand addresses and as many numbers are found in seconds."""
+    line = "write to ab.c@d-e.org or é (212) 555-0199, "
+    df = spark.createDataFrame([(1, line * 10_000)], "doc_id long, text string")
+    start = time.time()
+    got = pii.candidates(df).selectExpr("size(spans) AS n", "sum(0) OVER () AS z", "transform(spans, x -> x.s) AS s").first()
+    assert time.time() - start < 60 and got.n == 20_000
+    assert got.s == sorted([i * len(line) + 9 for i in range(10_000)] + [i * len(line) + 27 for i in range(10_000)])
+
+
+def test_what_overlaps_a_base_span_is_left_out(spark):
+    docs = [(1, "+1 (212) 555-0199"), (2, "a.b [at] c@d.org"), (3, "x@415-555-0100.org 415-555-0100")]
+    got = {r.id: [(x.k, x.s, x.base) for x in r.spans] for r in pii.candidates(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {1: [(3, 0, True)], 2: [(0, 9, True)], 3: [(0, 0, True), (3, 19, False)]}
+
+
 def test_kneser_ney_sums_to_one():
     words = ["stone", "store", "stew", "mad", "made", "mate"]
     m = toxicity.KneserNey(words, np.array([[5, 3, 0, 4, 1, 2], [1, 0, 6, 0, 2, 3]]), order=3)
