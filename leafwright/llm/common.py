@@ -18,12 +18,15 @@ BYTE_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir.
+    """The folder that driver and executors share: spark.checkpoint.dir, or the checkpoint folder of the context.
 
-    Where the session names none (tests, local runs) a temporary one is set for it.
+    A local session that names none (tests) gets a temporary one. On a cluster none can be made up: a folder of one
+    machine would lose what others write.
     """
-    at = spark.conf.get("spark.checkpoint.dir", None)
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="leafwright-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")

@@ -306,7 +306,7 @@ def held_out(id_) -> F.Column:
     return F.coalesce(F.crc32(id_.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def train_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 6_000, order: int = 6, share: float = 0.01, pad: int = 50,
+def train_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 6_000, order: int = 7, share: float = 0.01, pad: int = 50,
                    most_grams: int = 16_000_000, most_labels: int = 1_000_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Toxicity:
     """Fits the models on all words of all labelled rows that are not held out. Only the curve is fitted on a sample: at
     most per_class rows of each class, those of a quarter with the smallest hashes of their ids, which make no counts.
