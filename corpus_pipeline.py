@@ -1,13 +1,15 @@
-"""A training corpus from raw documents: five stages, each written as Parquet and read again as the next one's input."""
+"""A training corpus from raw documents: five stages, each written as Parquet and read again as the next one's input.
+
+All columns of documents go along, whatever their names; ids may be null or repeat, and tables may be empty.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from leafwright.llm.common import durable
 from leafwright.llm.decontaminate import decontaminate
-from leafwright.llm.mixing import mix_sources
+from leafwright.llm.mixing import mix_documents
 from leafwright.llm.queries import table, tokenizer_path
 from leafwright.llm.simhash import drop_near_copies
 from leafwright.llm.tokens import tokens_of
@@ -15,29 +17,30 @@ from leafwright.llm.toxicity import drop_toxic, train_toxicity
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity score rejects (0.7 or more) go."""
+    """Documents that the toxicity score rejects (0.7 or more) go; null and empty texts are scored as texts without words."""
     return drop_toxic(docs, train_toxicity(docs, table(spark, sf_dir, "labels")))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each SimHash component the document with the smallest id stays."""
+    """Of each group of near copies (0.8 of their five-word shingles or more) the document with the smallest id stays, as one
+    row. Null and empty texts are copies of each other; a null id stays only where the whole group has none."""
     return drop_near_copies(docs)
 
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which benchmark items make up a twentieth go; shorter leaked passages are cut out."""
+    """Documents of which benchmark items make up a twentieth go; shorter leaked passages are cut out. Null and empty texts
+    stay."""
     return decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document stands as often as the mix takes it: not at all, once or twice."""
-    taken = mix_sources(docs).where("taken > 0").groupBy(F.col("doc_id").alias("__id")).agg(F.max(F.expr("taken div size")).alias("__times"))
-    out = docs.join(taken, docs["doc_id"].eqNullSafe(taken["__id"]))
-    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__times")))).select(*docs.columns)
+    """Each row stands as often as the mix takes it: not at all, once or twice. Texts without words are not taken; a null source
+    is one of its own."""
+    return mix_documents(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix as token files, and their digest per document."""
+    """The mix as token files in ascending order of ids, and a row of what the files hold for each document of them."""
     return tokens_of(docs, tokenizer_path())
 
 
