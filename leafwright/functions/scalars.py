@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, of: Callable[[Column], Column]) -> Column:
+    """of(value), with value worked out once for all its uses, inside functions of array elements as well."""
+    return F.element_at(F.transform(F.array(value), of), 1)
+
+
 def auto_scale(pitch: Column) -> Column:
     """Enlargement that brings the line pitch to 48 pixels: between 1 and 2; unknown is 1."""
     return F.coalesce(F.least(F.greatest(48.0 / (0.8 * F.nullif(pitch.cast("double"), F.lit(0.0))), F.lit(1.0)), F.lit(2.0)), F.lit(1.0))

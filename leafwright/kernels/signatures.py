@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,21 +23,63 @@ def mean_abs_diff(a: Column, b: Column) -> Column:
 
 
 def sign_bits(vector: Column) -> Column:
-    """The signs of up to 64 components as a long: bit i is set where component i is positive."""
-    bits = F.transform(vector, lambda x, i: F.when(x > 0, F.expr("1L")).otherwise(F.expr("0L")))
-    return F.aggregate(bits, F.lit(0).cast("long"), lambda acc, b: F.shiftleft(acc, 1).bitwiseOR(b))
-
-
-def ratio_matches(queries: DataFrame, rows: DataFrame, ratio: float) -> DataFrame:
-    """(vec_id, match_id, dist, second): the nearest row by differing bits, where it is nearer than ratio times the second.
-
-    A stated set of rows against all queries: rows are the side that is broadcast, and each query keeps its two
-    nearest in a map-side aggregate."""
-    r = rows.select(F.col("vec_id").alias("match_id"), F.col("bits").alias("other"))
-    d = queries.crossJoin(F.broadcast(r)).select("vec_id", F.struct(F.bit_count(F.col("bits").bitwiseXOR(F.col("other"))).alias("dist"), "match_id").alias("x"))
-    first = d.groupBy("vec_id").agg(F.min("x").alias("a"))
-    rest = d.join(first, "vec_id").where(F.col("x") > F.col("a")).groupBy("vec_id", "a").agg(F.min("x").alias("b"))
-    return rest.where(F.col("a.dist") < ratio * F.col("b.dist")).select("vec_id", F.col("a.match_id").alias("match_id"), F.col("a.dist").cast("int").alias("dist"), F.col("b.dist").cast("int").alias("second"))
+    """The signs of the components as an array of longs, 64 to each: a bit is set where its component is positive."""
+    bits = F.transform(vector, lambda x: F.when(x > 0, F.expr("1L")).otherwise(F.expr("0L")))
+    starts = F.sequence(F.lit(1), F.greatest(F.size(vector), F.lit(1)), F.lit(64))
+    return F.transform(starts, lambda s: F.aggregate(F.slice(bits, s, 64), F.lit(0).cast("long"), lambda acc, b: F.shiftleft(acc, 1).bitwiseOR(b)))
+
+
+def ratio_matches(queries: DataFrame, rows: DataFrame, ratio: float, most: int = 100_000, block: int = 512) -> DataFrame:
+    """(vec_id, match_id, dist, second): of all other rows the nearest by differing bits, where it is nearer than ratio times
+    the second.
+
+    queries and rows: (vec_id, bits). The queries go to the rows in chunks of at most `most` (a bound on what is broadcast;
+    each chunk is a pass over the rows), and meet them in blocks. A task keeps the two nearest of each query, and those of
+    all tasks are merged."""
+    spark, found = queries.sparkSession, None
+    for chunk in _chunks(queries, most):
+        part = _two_nearest(rows, spark.sparkContext.broadcast(chunk), block)
+        found = part if found is None else found.unionByName(part)
+    near = found.groupBy("vec_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("dist", "match_id"))), 1, 2).alias("n")).where("size(n) = 2")
+    return near.select("vec_id", F.col("n")[0]["match_id"].alias("match_id"), F.col("n")[0]["dist"].alias("dist"), F.col("n")[1]["dist"].alias("second")).where(F.col("dist") < ratio * F.col("second"))
+
+
+def _chunks(queries: DataFrame, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(ids, bits) of at most `most` queries at a time."""
+    ids, bits = [], []
+    for r in queries.select("vec_id", "bits").toLocalIterator():
+        ids.append(r[0])
+        bits.append(r[1])
+        if len(ids) == most:
+            yield np.array(ids, np.int64), np.array(bits, np.int64)
+            ids, bits = [], []
+    yield np.array(ids, np.int64), np.array(bits, np.int64)
+
+
+def _two_nearest(rows: DataFrame, chunk: Broadcast, block: int) -> DataFrame:
+    def over(batches):
+        ids, bits = chunk.value
+        far = np.iinfo(np.int64).max
+        best = np.full((len(ids), 2), far)  # distance and id in one number: the smaller id first on ties
+        name = np.zeros((len(ids), 2), np.int64)
+        for batch in batches:
+            other = batch.column("vec_id").to_numpy()
+            theirs = np.array(batch.column("bits").to_pylist(), np.int64).reshape(len(other), -1)
+            order = np.argsort(other, kind="stable")
+            other, theirs = other[order], theirs[order]
+            for i in range(0, len(ids), block):
+                apart = np.bitwise_count(bits[i : i + block, None, :] ^ theirs[None, :, :]).sum(axis=2, dtype=np.int64)
+                apart[ids[i : i + block, None] == other[None, :]] = far  # itself
+                take = min(2, len(other))
+                near = np.argsort(apart, axis=1, kind="stable")[:, :take]  # ids ascend, so ties do too
+                d = np.concatenate([best[i : i + block], np.take_along_axis(apart, near, 1)], axis=1)
+                n = np.concatenate([name[i : i + block], other[near]], axis=1)
+                two = np.lexsort((n, d), axis=1)[:, :2]
+                best[i : i + block], name[i : i + block] = np.take_along_axis(d, two, 1), np.take_along_axis(n, two, 1)
+        row, k = np.nonzero(best < far)
+        yield pa.record_batch([pa.array(ids[row]), pa.array(name[row, k]), pa.array(best[row, k].astype(np.int32))], names=["vec_id", "match_id", "dist"])
+
+    return rows.select("vec_id", "bits").mapInArrow(over, "vec_id long, match_id long, dist int")
 
 
 def weighted_quantile(rows: DataFrame, keys: list[str], value: str, weight: str, share: float) -> DataFrame:

@@ -10,13 +10,14 @@ from pyspark.sql import functions as F
 def nearest_asof(queries: DataFrame, rows: DataFrame, key: str, at: str, t: str, id_col: str) -> DataFrame:
     """queries with t and id of the row of the same key nearest in time; the earlier row (then the smaller id) on ties.
 
-    One union and two running windows: the last row at or before each query and the first after it."""
+    One union and two running windows, one in time and one against it: the last row at or before each query and the first
+    at or after it."""
     q = queries.select(F.col(key).alias("__k"), F.col(at).alias("__t"), F.struct(*queries.columns).alias("__q"))
     r = rows.groupBy(F.col(key).alias("__k"), F.col(t).alias("__t")).agg(F.min(id_col).alias("i"))
     r = r.select("__k", "__t", F.struct(F.col("__t").alias("t"), "i").alias("__r"))
     u = q.unionByName(r, allowMissingColumns=True)
-    w = Window.partitionBy("__k").orderBy("__t")
-    u = u.withColumns({"__a": F.max("__r").over(w.rangeBetween(Window.unboundedPreceding, 0)), "__b": F.min("__r").over(w.rangeBetween(0, Window.unboundedFollowing))})
+    on, back = (Window.partitionBy("__k").orderBy(o).rangeBetween(Window.unboundedPreceding, 0) for o in (F.col("__t"), F.col("__t").desc()))
+    u = u.withColumns({"__a": F.max("__r").over(on), "__b": F.min("__r").over(back)})
     a, b = F.col("__a"), F.col("__b")
     use_a = b.isNull() | (a.isNotNull() & (F.col("__t") - a["t"] <= b["t"] - F.col("__t")))
     pick = F.when(use_a, a).otherwise(b)
@@ -33,11 +34,33 @@ def step_frames(queries: DataFrame, frames: DataFrame, n: int) -> DataFrame:
     return at.join(frames, ["video_id", "frame_idx"]).select("video_id", "run", "event_id", "t")
 
 
-def first_interval(points: DataFrame, intervals: DataFrame) -> DataFrame:
+def _slots(a: Column, b: Column, width: float) -> Column:
+    return F.sequence(F.floor(a / width), F.floor(b / width))
+
+
+def _points_in(points: DataFrame, intervals: DataFrame, width: float, how: str) -> DataFrame:
+    """points with gt, a, b of the intervals (closed) of the same video that they are in. Both meet by slot of time, so the
+    points of a video do not meet all its intervals; an interval is there once for each slot that it touches."""
+    i = intervals.where("a <= b").select(F.col("video_id").alias("__v"), "gt", "a", "b", F.explode(_slots(F.col("a"), F.col("b"), width)).alias("__i"))
+    p = points.withColumn("__p", F.floor(F.col("t") / width))
+    return p.join(i, (F.col("video_id") == F.col("__v")) & (F.col("__p") == F.col("__i")) & F.col("t").between(F.col("a"), F.col("b")), how).drop("__v", "__i", "__p")
+
+
+def first_interval(points: DataFrame, intervals: DataFrame, width: float = 60.0) -> DataFrame:
     """points with gt, the smallest interval number (a <= t <= b) of the same video, or null."""
-    i = intervals.select(F.col("video_id").alias("v"), "gt", "a", "b")
-    hit = points.join(i, (F.col("video_id") == F.col("v")) & F.col("t").between(F.col("a"), F.col("b")), "left")
-    return hit.groupBy(*points.columns).agg(F.min("gt").alias("gt"))
+    return _points_in(points, intervals, width, "left").groupBy(*points.columns).agg(F.min("gt").alias("gt"))
+
+
+def overlapping(left: DataFrame, right: DataFrame, width: float, closed: bool = True) -> DataFrame:
+    """Pairs of intervals (video_id, start, end and other columns; those of the right side come with an r_) of one video that
+    overlap: closed ones also where an end meets a start, open ones by more than a point. They meet by slots of time, and a
+    pair is told once, in the slot where the later of the two starts."""
+    other = {c: f"r_{c}" for c in right.columns}
+    a = left.where("start <= end").withColumn("__a", F.explode(_slots(F.col("start"), F.col("end"), width)))
+    b = right.where("start <= end").toDF(*other.values()).withColumn("__b", F.explode(_slots(F.col("r_start"), F.col("r_end"), width)))
+    later, sooner = F.greatest("start", "r_start"), F.least("end", "r_end")
+    meet = (F.col("video_id") == F.col("r_video_id")) & (F.col("__a") == F.col("__b")) & (F.floor(later / width) == F.col("__a"))
+    return a.join(b, meet & ((later <= sooner) if closed else (later < sooner))).drop("__a", "__b")
 
 
 def bucket_overlap(intervals: DataFrame, width: float) -> DataFrame:
@@ -47,21 +70,22 @@ def bucket_overlap(intervals: DataFrame, width: float) -> DataFrame:
     return i.select("video_id", "run", "bucket", seconds.alias("seconds"))
 
 
-def recall_by_length(intervals: DataFrame, points: DataFrame, edges: list[float]) -> DataFrame:
+def recall_by_length(intervals: DataFrame, points: DataFrame, edges: list[float], width: float = 60.0) -> DataFrame:
     """(bucket, n, found, duplicates): intervals with a point in them, and with several, by length."""
-    p = points.select(F.col("video_id").alias("v"), "t")
-    hits = intervals.join(p, (F.col("video_id") == F.col("v")) & F.col("t").between(F.col("a"), F.col("b")), "left").groupBy("video_id", "gt", "a", "b").agg(F.count("t").alias("hits"))
+    inside = _points_in(points.select("video_id", "t"), intervals, width, "inner").groupBy("video_id", "gt", "a", "b").agg(F.count("*").alias("n"))
+    hits = intervals.join(inside, ["video_id", "gt", "a", "b"], "left").withColumn("hits", F.coalesce("n", F.lit(0)))
     bucket = F.lit(len(edges))
     for i, e in reversed(list(enumerate(edges))):
         bucket = F.when(F.col("b") - F.col("a") < e, i).otherwise(bucket)
     return hits.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"), F.count_if(F.col("hits") > 0).alias("found"), F.count_if(F.col("hits") > 1).alias("duplicates"))
 
 
-def adoption_totals(truth: DataFrame, adopted: DataFrame, near: float) -> DataFrame:
-    """One row: gt_intervals, found, recall, included, false_adoptions, near_boundary, duplicates."""
-    i = truth.select(F.col("video_id").alias("v"), "gt", "a", "b")
-    m = adopted.join(i, F.col("video_id") == F.col("v"), "left").groupBy("video_id", "event_id").agg(
-        F.min(F.when(F.col("t").between(F.col("a"), F.col("b")), F.col("gt"))).alias("gt"), F.min(F.least(F.abs(F.col("t") - F.col("a")), F.abs(F.col("t") - F.col("b")))).alias("dist"))
+def adoption_totals(truth: DataFrame, adopted: DataFrame, near: float, width: float = 60.0) -> DataFrame:
+    """One row: gt_intervals, found, recall, included, false_adoptions, near_boundary, duplicates. The nearest boundary of a
+    point comes from running windows over the boundaries of its video."""
+    hit = first_interval(adopted.select("video_id", "event_id", "t"), truth, width)
+    edges = truth.select("video_id", F.explode(F.array("a", "b")).alias("edge"), F.lit(0).alias("one"))
+    m = nearest_asof(hit, edges, "video_id", "t", "edge", "one").withColumn("dist", F.abs(F.col("edge") - F.col("t")))
     per = m.where("gt is not null").groupBy("video_id", "gt").count().agg(F.count("*").alias("found"), F.count_if(F.col("count") > 1).alias("duplicates"))
     wrong = m.agg(F.count("*").alias("included"), F.count_if(F.col("gt").isNull()).alias("false_adoptions"), F.count_if(F.col("gt").isNull() & (F.col("dist") <= near)).alias("near_boundary"))
     n = truth.agg(F.count("*").alias("gt_intervals"))

@@ -54,7 +54,8 @@ def asof_reference(series: DataFrame, rules: StillRules = StillRules(), id_col:
 
 def forward_motion(series: DataFrame, rules: StillRules = StillRules(), id_col: str = "event_id") -> DataFrame:
     """Adds forward: the motion of the first frame at least `lag` later, 0 where there is none."""
-    ahead = f"over (partition by video_id order by t range between {rules.lag - EPS!r}d following and unbounded following)"
+    # from the end backwards: a running minimum, where a frame up to the end would be gone through again for each row
+    ahead = f"over (partition by video_id order by t desc range between unbounded preceding and {rules.lag - EPS!r}d preceding)"
     nxt = F.expr(f"min(struct(t, `{id_col}` as i, motion as m)) {ahead}")
     return series.withColumn("forward", F.coalesce(nxt["m"], F.lit(0.0)))
 

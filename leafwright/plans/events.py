@@ -171,7 +171,7 @@ def point_in_interval(spark, sf_dir):
     """The first run that each purchase falls in."""
     f = frames(spark, sf_dir)
     runs = _runs(f)[1].select("video_id", F.col("i0").alias("gt"), F.col("start").alias("a"), F.col("end").alias("b"))
-    return evaluate.first_interval(f.where("side = 'purchase'").select("video_id", "event_id", "t"), runs)
+    return evaluate.first_interval(f.where("side = 'purchase'").select("video_id", "event_id", "t"), runs, 24 * HOUR)
 
 
 POINT_IN_INTERVAL = f"""WITH {SQL_RUNS}
@@ -190,11 +190,25 @@ SELECT video_id, i0 AS run, b AS bucket, least("end", (b + 1) * 86400.0) - great
 FROM (SELECT *, unnest(range(CAST(floor(start / 86400) AS BIGINT), CAST(floor("end" / 86400) AS BIGINT) + 1)) AS b FROM rn)"""
 
 
+def interval_join(spark, sf_dir):
+    """The stretches of two or more hours between purchases of a video against its runs: open overlaps."""
+    f = frames(spark, sf_dir)
+    runs = _runs(f)[1].select("video_id", F.col("i0").alias("run"), "start", "end")
+    p = f.where("side = 'purchase'").select("video_id", F.lag("t").over(series.by_time()).alias("start"), F.col("t").alias("end")).where(F.col("end") - F.col("start") >= 2 * HOUR)
+    return evaluate.overlapping(runs, p, 24 * HOUR, closed=False).select("video_id", "run", F.col("r_start").alias("since"), (F.least("end", "r_end") - F.greatest("start", "r_start")).alias("seconds"))
+
+
+INTERVAL_JOIN = f"""WITH {SQL_RUNS},
+p AS (SELECT video_id, lag(t) OVER (PARTITION BY video_id ORDER BY t, event_id) AS s, t AS e FROM fr WHERE side = 'purchase')
+SELECT rn.video_id, rn.i0 AS run, p.s AS since, least(rn."end", p.e) - greatest(rn.start, p.s) AS seconds
+FROM rn JOIN p ON rn.video_id = p.video_id AND p.e - p.s >= 7200 AND greatest(rn.start, p.s) < least(rn."end", p.e)"""
+
+
 def recall_buckets(spark, sf_dir):
     """Which runs have a purchase in them, by length of the run."""
     f = frames(spark, sf_dir)
     runs = _runs(f)[1].select("video_id", F.col("i0").alias("gt"), F.col("start").alias("a"), F.col("end").alias("b"))
-    return evaluate.recall_by_length(runs, f.where("side = 'purchase'").select("video_id", "t"), [8 * HOUR, 16 * HOUR, 32 * HOUR])
+    return evaluate.recall_by_length(runs, f.where("side = 'purchase'").select("video_id", "t"), [8 * HOUR, 16 * HOUR, 32 * HOUR], 24 * HOUR)
 
 
 RECALL_BUCKETS = f"""WITH {SQL_RUNS},
@@ -206,7 +220,7 @@ def evaluation_totals(spark, sf_dir):
     """Purchases (adoptions) against runs (truth): recall, false rate, near-boundary, duplicates."""
     f = frames(spark, sf_dir)
     runs = _runs(f)[1].select("video_id", F.col("i0").alias("gt"), F.col("start").alias("a"), F.col("end").alias("b"))
-    return evaluate.adoption_totals(runs, f.where("side = 'purchase'").select("video_id", "event_id", "t"), 2 * HOUR)
+    return evaluate.adoption_totals(runs, f.where("side = 'purchase'").select("video_id", "event_id", "t"), 2 * HOUR, 24 * HOUR)
 
 
 EVALUATION_TOTALS = f"""WITH {SQL_RUNS},
@@ -303,9 +317,9 @@ EVENT_SUMMARY = f"""WITH {SQL_BASE}, h AS (SELECT side, floor(t / 3600.0) AS b,
 SELECT e.side AS stage, max(t) - min(t) AS seconds, count(*) AS n, (SELECT max(c) FROM h WHERE h.side = e.side) AS peak FROM ev e GROUP BY 1"""
 
 QUERIES = {f.__name__: f for f in (asof_reference, forward_motion, series_gaps, auto_threshold, dead_still_runs, still_runs, still_candidates, blur_flags, nearest_frame,
-                                   step_frame, point_in_interval, interval_overlap, recall_buckets, evaluation_totals, repetition_split, greedy_band_match, band_mapping,
+                                   step_frame, point_in_interval, interval_overlap, interval_join, recall_buckets, evaluation_totals, repetition_split, greedy_band_match, band_mapping,
                                    dedupe_chain, session_plan, longest_runs, segment_union, event_summary)}
 SQL = {"asof_reference": ASOF_REFERENCE, "forward_motion": FORWARD_MOTION, "series_gaps": SERIES_GAPS, "auto_threshold": AUTO_THRESHOLD, "dead_still_runs": DEAD_STILL_RUNS,
        "still_runs": STILL_RUNS, "still_candidates": STILL_CANDIDATES, "blur_flags": BLUR_FLAGS, "nearest_frame": NEAREST_FRAME, "step_frame": STEP_FRAME,
-       "point_in_interval": POINT_IN_INTERVAL, "interval_overlap": INTERVAL_OVERLAP, "recall_buckets": RECALL_BUCKETS, "evaluation_totals": EVALUATION_TOTALS,
+       "point_in_interval": POINT_IN_INTERVAL, "interval_overlap": INTERVAL_OVERLAP, "interval_join": INTERVAL_JOIN, "recall_buckets": RECALL_BUCKETS, "evaluation_totals": EVALUATION_TOTALS,
        "repetition_split": REPETITION_SPLIT, "band_mapping": BAND_MAPPING, "longest_runs": LONGEST_RUNS, "segment_union": SEGMENT_UNION, "event_summary": EVENT_SUMMARY}
