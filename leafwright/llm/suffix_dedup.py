@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import bounded_batches, durable
 
 _BASE = 0xD6E8FEB86659FD93
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -131,8 +131,8 @@ def _encoded(column: pa.ChunkedArray | pa.Array) -> list[bytes]:
 
 
 def _anchor_rows(rule: Rule):
-    """Per input batch and bucket: the anchors' tags and the groups of their documents. An anchor is there
-    once for each group of the batch, twice if the group has it in two documents."""
+    """Per input batch and bucket: the anchors' tags, the groups of their documents, and in how many documents (255 at
+    most) the batch has each of them in each group."""
 
     def over(batches):
         for batch in batches:
@@ -151,33 +151,36 @@ def _anchor_rows(rule: Rule):
                 h, g = h[once], group[row[once]]
                 order = np.lexsort((g, h))
                 h, g = h[order], g[order]
-                extra = np.zeros(len(h), bool)  # the third and later of a group
-                extra[2:] = (h[2:] == h[:-2]) & (g[2:] == g[:-2])
-                h, g = h[~extra], g[~extra]
+                first = np.ones(len(h), bool)
+                first[1:] = (h[1:] != h[:-1]) | (g[1:] != g[:-1])
+                first = np.flatnonzero(first)
+                n = np.minimum(np.diff(np.concatenate([first, [len(h)]])), 255).astype(np.uint8)
+                h, g = h[first], g[first]
                 bucket = rule.bucket(h)
                 order = np.argsort(bucket, kind="stable")
-                h, g, bucket = h[order], g[order], bucket[order]
+                h, g, n, bucket = h[order], g[order], n[order], bucket[order]
                 cut = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(h)]])
                 yield pa.record_batch([
                     pa.array(bucket[cut[:-1]].astype(np.int32)),
                     pa.array([_pack40(rule.tag(h[i:j])) for i, j in zip(cut[:-1], cut[1:])], pa.binary()),
-                    pa.array([g[i:j].astype("<u2" if rule.groups < 65536 else "<u4").tobytes() for i, j in zip(cut[:-1], cut[1:])], pa.binary())], names=["bucket", "tags", "gs"])
+                    pa.array([g[i:j].astype("<u2" if rule.groups < 65536 else "<u4").tobytes() for i, j in zip(cut[:-1], cut[1:])], pa.binary()),
+                    pa.array([n[i:j].tobytes() for i, j in zip(cut[:-1], cut[1:])], pa.binary())], names=["bucket", "tags", "gs", "ns"])
 
     return over
 
 
 def _shared(rule: Rule):
-    """Of a bucket, for each group the anchors that two documents have; hot ones are marked."""
+    """Of a bucket, for each group the anchors that two documents have; those of over rule.hot documents are marked."""
 
     def over(table: pa.Table) -> pa.Table:
         bucket = table.column("bucket")[0].as_py()
         h = np.concatenate([_unpack40(x) for x in table.column("tags").to_pylist()])
         g = np.concatenate([np.frombuffer(x, "<u2" if rule.groups < 65536 else "<u4") for x in table.column("gs").to_pylist()])
+        n = np.concatenate([np.frombuffer(x, np.uint8) for x in table.column("ns").to_pylist()]).astype(np.int64)
         order = np.argsort(h, kind="stable")
-        h, g = h[order], g[order]
-        start = np.concatenate([[True], h[1:] != h[:-1]])
-        size = np.diff(np.concatenate([np.flatnonzero(start), [len(h)]]))
-        size = np.repeat(size, size)
+        h, g, n = h[order], g[order], n[order]
+        start = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+        size = np.repeat(np.add.reduceat(n, start), np.diff(np.concatenate([start, [len(h)]])))
         many, hot = size > 1, size > rule.hot
         h, g, hot = h[many], g[many], hot[many]
         order = np.lexsort((h, g))
@@ -473,11 +476,12 @@ def _keep(text: bytes, spans: np.ndarray) -> bytes:
 
 
 def _apply(docs: DataFrame, emit, schema: str, length: int, anchor: int, group_mb: float, bucket_mb: float, hot: int, id_col: str, text_col: str) -> DataFrame:
+    bounded_batches(docs.sparkSession)
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     mb = (base.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / (1 << 20)
     rule = Rule(length, anchor, max(8, int(mb / bucket_mb)), max(8, int(mb / group_mb)), hot)
     base = base.withColumn("g", F.pmod(F.xxhash64("id", "text"), F.lit(rule.groups)).cast("int")).select("g", "id", "text")
-    rows = base.select("g", "text").mapInArrow(_anchor_rows(rule), "bucket int, tags binary, gs binary")
+    rows = base.select("g", "text").mapInArrow(_anchor_rows(rule), "bucket int, tags binary, gs binary, ns binary")
     shared = durable(rows.groupBy("bucket").applyInArrow(_shared(rule), "g int, bucket int, tags binary, hot binary"), "suffix-anchors")
     contexts = base.groupBy("g").cogroup(shared.groupBy("g")).applyInArrow(_context_rows(rule), "bucket int, g int, blob binary")
     masks = contexts.groupBy("bucket").applyInArrow(_resolve(rule), "g int, masks binary")
@@ -485,7 +489,7 @@ def _apply(docs: DataFrame, emit, schema: str, length: int, anchor: int, group_m
     return base.groupBy("g").cogroup(side.groupBy("g")).applyInArrow(lambda d, s: emit(rule, d, s), schema)
 
 
-def suffix_report(docs: DataFrame, length: int = 50, anchor: int = 24, group_mb: float = 4, bucket_mb: float = 16, hot: int = 20_000,
+def suffix_report(docs: DataFrame, length: int = 50, anchor: int = 24, group_mb: float = 4, bucket_mb: float = 16, hot: int = 1_000,
                   id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: (id, n_bytes, n_removed, n_spans, kept_sha256).
 
@@ -495,8 +499,9 @@ def suffix_report(docs: DataFrame, length: int = 50, anchor: int = 24, group_mb:
     what is kept need not be valid UTF-8. Other columns are ignored.
 
     Documents are cut into groups of about group_mb by hash, anchors into buckets that stand for about
-    bucket_mb of text; a group or bucket is what one Python call holds. Anchors that over `hot` groups of
-    documents have are dealt out by the windows around them instead.
+    bucket_mb of text; a group or bucket is what one Python call holds. Anchors that over `hot` documents
+    have are dealt out by the windows around them instead, so that a common passage is no bucket's alone; a group
+    sends each different window once, whatever number of its documents have it.
     """
 
     def emit(rule: Rule, d: pa.Table, s: pa.Table) -> pa.Table:
@@ -511,7 +516,7 @@ def suffix_report(docs: DataFrame, length: int = 50, anchor: int = 24, group_mb:
     return out.withColumnRenamed("id", id_col)
 
 
-def remove_repeats(docs: DataFrame, length: int = 50, anchor: int = 24, group_mb: float = 4, bucket_mb: float = 16, hot: int = 20_000,
+def remove_repeats(docs: DataFrame, length: int = 50, anchor: int = 24, group_mb: float = 4, bucket_mb: float = 16, hot: int = 1_000,
                    id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, text) without repeated passages (see suffix_report); bytes of a letter cut in two are dropped."""
 

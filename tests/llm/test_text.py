@@ -143,9 +143,10 @@ def test_the_classifier_decides_what_is_added(spark):
     docs = [(i, f'token = "{key()}" and call 415-555-{rng.randint(1000, 9999)} now') for i in range(300)]
     docs += [(i, f"commit {key()}x and order {key()} of invoice 015-555-{rng.randint(1000, 9999)}") for i in range(300, 600)]
     got = {r.doc_id: r for r in pii.find_pii(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
-    assert all(got[i].n_secret == 1 and got[i].n_added == 1 and f"phone:{docs[i][1].index('call ') + 5}:{docs[i][1].index('call ') + 17}" in got[i].spans for i in range(300))
-    assert all(got[i].n_added == 0 for i in range(300, 600)) and sum(got[i].n_secret for i in range(300, 600)) == 300
-    assert got[0].secrets == "9:49" and got[0].n_found == 2 + got[0].n_card
+    assert sum(r.n_card > 0 for r in got.values()) < 10  # digits of a key, which no span may overlap then
+    assert all(got[i].n_secret == 1 and got[i].n_added == 1 and f"phone:{docs[i][1].index('call ') + 5}:{docs[i][1].index('call ') + 17}" in got[i].spans for i in range(300) if not got[i].n_card)
+    assert all(got[i].n_added == 0 for i in range(300, 600)) and all(got[i].n_secret == 1 for i in range(300, 600) if not got[i].n_card)
+    assert got[0].secrets == "9:49" and got[0].n_found == 2
 
 
 def test_many_matches_in_one_text(spark):
