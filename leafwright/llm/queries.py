@@ -11,21 +11,6 @@ from . import decontaminate, exact_dedup, mixing, pii, simhash, suffix_dedup, to
 
 TOKENIZER = "word_bpe_49k.json"
 
-# The dated list of op9: (list, verdict, host, path, action, seconds since 1970).
-LIST_ENTRIES = [
-    ("gambling", "block", "casino-win.example.com", "", "add", 1_704_067_200),
-    ("gambling", "block", "casino-win.example.com", "", "remove", 1_714_000_000),
-    ("gambling", "block", "casino-win.example.com", "", "add", 1_724_000_000),
-    ("gambling", "block", "free-bets.example.com", "", "add", 1_708_000_000),
-    ("pharmacy", "block", "cheap-pills.example.com", "", "add", 1_706_000_000),
-    ("pharmacy", "block", "cheap-pills.example.com", "", "remove", 1_730_000_000),
-    ("partners", "allow", "casino-win.example.com", "/en", "add", 1_726_000_000),
-    ("archive", "block", "example.net", "/fr", "add", 1_710_000_000),
-    ("archive", "block", "example.net", "/fr", "remove", 1_720_000_000),
-    ("archive", "block", "example.org", "/de/1", "add", 1_700_000_000),
-    ("review", "allow", "blog.example.org", "", "add", 1_700_000_000),
-    ("archive", "block", "example.org", "", "add", 1_728_000_000),
-]
 _FETCHED = "1704067200 + (page_id * 7919) % 31536000"
 
 
@@ -72,11 +57,26 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.suffix_report(table(spark, sf_dir, "documents"))
 
 
+def list_entries(pages: DataFrame) -> DataFrame:
+    """Dated lists about the hosts of pages: an entry for each host, for each domain above one, and for each first part of a
+    path of a host. Each is added at a time that follows from the smallest page_id that has it (m); most are removed a
+    month later, and most come back after another forty days."""
+    p = pages.select(url_filter.url_host(F.col("url")).alias("host"), url_filter.url_path(F.col("url")).alias("path"), "page_id").where("host <> ''")
+    first = F.min("page_id").alias("m")
+    hosts = p.groupBy("host").agg(first).selectExpr("'hosts' AS list", "if(m % 5 = 0, 'allow', 'block') AS verdict", "host", "'' AS path", "m")
+    above = p.where("host LIKE '%.%.%'").groupBy(F.regexp_replace("host", r"^[^.]+\.", "").alias("host")).agg(first).selectExpr("'domains' AS list", "'block' AS verdict", "host", "'' AS path", "m")
+    parts = p.groupBy("host", F.regexp_extract("path", "^/[^/]+", 0).alias("path")).agg(first).where("path <> ''").selectExpr("'sections' AS list", "if(m % 2 = 0, 'allow', 'block') AS verdict", "host", "path", "m")
+    dated = hosts.unionByName(above).unionByName(parts).withColumn("since", F.expr("1704067200 + (m * 104729) % 20000000"))
+    steps = "filter(array(struct('add' AS action, since AS at), struct('remove', if(m % 3 <> 0, since + 2592000, NULL)), struct('add', if(m % 4 <> 0, since + 6048000, NULL))), x -> x.at IS NOT NULL)"
+    return dated.selectExpr("list", "verdict", "host", "path", f"inline({steps})")
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fetch times are not in the table: they are spread over a year by page_id."""
-    entries = spark.createDataFrame(LIST_ENTRIES, "list string, verdict string, host string, path string, action string, at long")
-    captures = table(spark, sf_dir, "pages").select("page_id", "url", F.expr(_FETCHED).alias("fetched"))
-    return url_filter.filter_urls(captures, entries)
+    """Fetch times and lists are not among the tables: times are spread over a year by page_id, lists are those of
+    list_entries."""
+    pages = table(spark, sf_dir, "pages")
+    captures = pages.select("page_id", "url", F.expr(_FETCHED).alias("fetched"))
+    return url_filter.filter_urls(captures, list_entries(pages))
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -140,13 +140,18 @@ FROM d LEFT JOIN z ON d.doc_id = z.doc_id
 """
 
 _OP9 = f"""
-WITH e(list, verdict, host, path, action, ts) AS (VALUES {', '.join(repr(x) for x in LIST_ENTRIES)}),
+WITH u AS (SELECT page_id, lower(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]*)', 1)) AS host,
+  regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+g AS (SELECT 'hosts' AS list, CASE WHEN m % 5 = 0 THEN 'allow' ELSE 'block' END AS verdict, host, '' AS path, m FROM (SELECT host, min(page_id) AS m FROM u WHERE host <> '' GROUP BY 1)
+  UNION ALL SELECT 'domains', 'block', host, '', m FROM (SELECT regexp_replace(host, '^[^.]+\.', '') AS host, min(page_id) AS m FROM u WHERE host LIKE '%.%.%' GROUP BY 1)
+  UNION ALL SELECT 'sections', CASE WHEN m % 2 = 0 THEN 'allow' ELSE 'block' END, host, path, m FROM (SELECT host, regexp_extract(path, '^/[^/]+', 0) AS path, min(page_id) AS m FROM u WHERE host <> '' GROUP BY 1, 2) WHERE path <> ''),
+s AS (SELECT *, 1704067200 + (m * 104729) % 20000000 AS since FROM g),
+e AS (SELECT list, verdict, host, path, 'add' AS action, since AS ts FROM s UNION ALL SELECT list, verdict, host, path, 'remove', since + 2592000 FROM s WHERE m % 3 <> 0
+  UNION ALL SELECT list, verdict, host, path, 'add', since + 6048000 FROM s WHERE m % 4 <> 0),
 e1 AS (SELECT *, lag(action) OVER (PARTITION BY list, verdict, host, path ORDER BY ts, action DESC) AS before FROM e),
 e2 AS (SELECT *, lead(ts) OVER (PARTITION BY list, verdict, host, path ORDER BY ts, action DESC) AS until FROM e1 WHERE before IS NULL OR before <> action),
 v AS (SELECT list, verdict, host AS parent, path AS under, ts AS since, until FROM e2 WHERE action = 'add' AND (until IS NULL OR until > ts)),
-c AS (SELECT page_id, {_FETCHED} AS fetched,
-  lower(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]*)', 1)) AS host,
-  regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+c AS (SELECT page_id, {_FETCHED} AS fetched, host, path FROM u),
 m AS (SELECT page_id, list, verdict, row_number() OVER (PARTITION BY page_id ORDER BY length(parent) DESC, length(under) DESC, verdict) AS rk
   FROM c JOIN v ON (c.host = parent OR ends_with(c.host, '.' || parent)) AND starts_with(c.path, under) AND since <= fetched AND (until IS NULL OR fetched < until)),
 a AS (SELECT page_id, count(*) AS n_active, string_agg(DISTINCT list, ',' ORDER BY list) AS lists, min(CASE WHEN rk = 1 THEN verdict END) AS decision FROM m GROUP BY page_id)
