@@ -115,6 +115,8 @@ def tile_links(fp: np.ndarray, radius: int, tile: int = 1024) -> tuple[np.ndarra
 def _diagonals(key: np.ndarray, fp: np.ndarray, radius: int, reach: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Tiles of many small groups at once: rows sorted by (key, population count) against those s places on, as long as
     some of these are of the same group and their counts differ by no more than the radius."""
+    if not len(key):
+        return
     ones = np.bitwise_count(fp).reshape(len(fp), -1).sum(axis=1, dtype=np.int64)
     order = np.lexsort((ones, key))
     k, f, ones = key[order], fp[order], ones[order]

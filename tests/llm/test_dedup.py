@@ -102,8 +102,49 @@ def test_simhash_edges(odd, none):
     assert (2, "0" * 16, 2) in got and (3, "0" * 16, 2) in got
     assert {c for d, _, c in got if d in (1, 4, None)} == {1}
     assert simhash.simhash_groups(none).count() == 0
-    assert sorted(str(r.doc_id) for r in simhash.drop_near_copies(odd).collect()) == ["1", "2", "5", "5", "7"]
-    assert simhash.drop_near_copies(odd).columns == odd.columns
+    assert sorted(str(r.doc_id) for r in simhash.drop_near_copies(odd).collect()) == ["1", "2", "5", "7"]  # rows that repeat stay once
+    assert simhash.drop_near_copies(odd).columns == odd.columns and simhash.drop_near_copies(none).count() == 0
+    named = odd.withColumn("a.b", F.lit(1)).withColumn("c0", F.lit(2)).withColumn("__id", F.lit(3))
+    assert simhash.drop_near_copies(named).columns == named.columns and simhash.drop_near_copies(named).count() == 4
+
+
+def shingles(text, n=5):
+    w = text.lower().split()
+    return {tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))}
+
+
+def varied(seed, n=80):
+    """Texts with changed words, and how alike each is to the one it was made from."""
+    rng = random.Random(seed)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8))) for _ in range(2000)]
+    out = []
+    for i in range(n):
+        w = [rng.choice(words) for _ in range(rng.randint(40, 400))]
+        rate = rng.choice([0.0, 0.002, 0.01, 0.02, 0.2, 0.4])
+        v = [x if rng.random() > rate else rng.choice(words) for x in w]
+        a, b = shingles(" ".join(w)), shingles(" ".join(v))
+        out.append((" ".join(w), " ".join(v).upper(), len(a & b) / len(a | b)))
+    return out
+
+
+def test_near_copies_are_found_from_a_similarity_on(spark):
+    made = varied(4)
+    df = spark.createDataFrame([(2 * i, a) for i, (a, _, _) in enumerate(made)] + [(2 * i + 1, b) for i, (_, b, _) in enumerate(made)], "doc_id long, text string").repartition(4)
+    for hot, tile in ((20_000, 4096), (2, 3)):
+        kept = {r.doc_id for r in simhash.drop_near_copies(df, hot=hot, tile=tile).collect()}
+        assert {2 * i for i in range(len(made))} <= kept
+        near = [2 * i + 1 in kept for i, (_, _, s) in enumerate(made) if s >= 0.8]
+        far = [2 * i + 1 in kept for i, (_, _, s) in enumerate(made) if s < 0.5]
+        assert len(near) > 30 and not any(near) and len(far) > 10 and all(far)
+
+
+def test_sketches():
+    s = simhash.Sketch()
+    made = varied(6, 60)
+    close = [bin(int.from_bytes(s.of(a)[0], "big") ^ int.from_bytes(s.of(b)[0], "big")).count("1") <= s.radius(0.8) and bool(set(s.of(a)[1]) & set(s.of(b)[1])) for a, b, x in made if x >= 0.8]
+    assert sum(close) >= 0.98 * len(close) > 20
+    long = " ".join(str(i) for i in range(20_000))
+    assert s.of(long) == s.of(long, block=100) and s.of(None) == s.of(" \t") and s.of("a b") != s.of("a c")
 
 
 def brute_repeats(docs, n):

@@ -165,86 +165,126 @@ def test_what_overlaps_a_base_span_is_left_out(spark):
     assert got == {1: [(3, 0, True)], 2: [(0, 9, True)], 3: [(0, 0, True), (3, 19, False)]}
 
 
-def test_kneser_ney_sums_to_one():
-    words = ["stone", "store", "stew", "mad", "made", "mate"]
-    m = toxicity.KneserNey(words, np.array([[5, 3, 0, 4, 1, 2], [1, 0, 6, 0, 2, 3]]), order=3)
-    letters = sorted({c for w in words for c in w} | {"\x03"})
-    # over all next letters each class sums to one, backoff included
-    for prefix in ("", "s", "st", "ma", "zz"):
-        total = np.zeros(2)
-        for c in letters:
-            w = toxicity.Words([prefix + c]) if c != "\x03" else toxicity.Words([prefix])
-            total += next_probability(m, w, len(prefix) + 1)
-        assert (total < 1.0 + 1e-5).all() and (total > 0.5).all()
-
-
-def next_probability(m, w, place):
-    from leafwright.llm.toxicity import _shift
-
-    p, d = np.full(len(w.letters), 1.0 / m.letters), m.discount
-    full, context, gram = np.zeros(len(p), np.uint64), np.zeros(len(p), np.uint64), None
-    for n, longer in w.grams(m.order):
-        if n:
-            before = _shift(gram) if n > 1 else gram
-            here = np.minimum(w.depth, m.order) == n
-            full[here], context[here] = longer[here], before[here]
-        if 1 <= n < m.order:
-            total, kinds = m.lower[n - 1][1](before)
-            better = (np.maximum(m.lower[n - 1][0](longer)[0] - d, 0) + d * kinds * p) / np.maximum(total, 1)
-            p = np.where((w.depth >= n + (n > 1)) & (total > 0), better, p)
-        gram = longer
-    seen, after = m.seen(full), m.after(context)
-    out = []
-    for k in range(2):
-        total, kinds = after[k], after[2 + k]
-        out.append(np.where(total > 0, (np.maximum(seen[k] - d, 0) + d * kinds * p) / np.maximum(total, 1e-9), p)[place])
-    return np.array(out)
+def plain_kneser_ney(counts, order, d=0.75):
+    """From dictionaries of strings: counts {word: (a, b)} -> function (context, letter) -> [P_0, P_1]. A start mark is <, an end
+    mark >; contexts have at most order - 1 letters, and the start mark among them where the word is short enough."""
+    def places(word):
+        w = f"<{word}>"
+        return [(w[max(0, i - order + 1) : i], w[:i], w[i]) for i in range(1, len(w))]
+
+    seen, before = [{}, {}], {}
+    for word, n in counts.items():
+        for ctx, all_, letter in places(word):
+            for k in (0, 1):
+                if n[k]:
+                    seen[k].setdefault(ctx, {}).setdefault(letter, 0)
+                    seen[k][ctx][letter] += n[k]
+            for m in range(order - 1):  # lower contexts have m letters and no start mark
+                if m < len(all_):
+                    before.setdefault(all_[len(all_) - m :], {}).setdefault(letter, set()).add(all_[len(all_) - m - 1])
+    letters = len(before[""])
+
+    def lower(ctx, letter):
+        p = lower(ctx[1:], letter) if ctx else 1 / letters
+        after = before.get(ctx)
+        if not after:
+            return p
+        return (max(len(after.get(letter, ())) - d, 0) + d * len(after) * p) / sum(map(len, after.values()))
+
+    def prob(ctx, letter):
+        out = []
+        for k in (0, 1):
+            p, after = lower(ctx[1:], letter), seen[k].get(ctx)
+            out.append((max(after.get(letter, 0) - d, 0) + d * len(after) * p) / sum(after.values()) if after else p)
+        return out
+
+    def ratio(word):
+        known = [(c, x) for c, _, x in places(word) if any(x in seen[k].get(c, {}) for k in (0, 1))]
+        return sum(np.log(p[1] / p[0]) for p in (prob(c, x) for c, x in known))
+
+    return prob, ratio, sorted({x for v in before.values() for x in v})
+
+
+def some_counts(n=300):
+    rng = random.Random(12)
+    out = {}
+    while len(out) < n:
+        out["".join(rng.choice("abcdeé😀_1") for _ in range(rng.choice([1, 2, 3, 5, 8, 30])))] = (rng.randint(0, 5), rng.randint(0, 5))
+    return {w: c for w, c in out.items() if any(c)}
+
+
+@pytest.mark.parametrize("order", [3, 6])
+def test_ratios_equal_plain_kneser_ney(spark, order):
+    counts = some_counts()
+    prob, ratio, letters = plain_kneser_ney(counts, order)
+    for ctx in ("<", "<a", "ab"[: order - 1], "<zz"[: order - 1], "dd"):
+        assert np.allclose(np.sum([prob(ctx, x) for x in letters], axis=0), 1)  # a distribution, backoff included
+    df = spark.createDataFrame([(w, *c) for w, c in counts.items()], "w string, a long, b long").repartition(5)
+    t = toxicity.letter_ratios(df, order).toPandas()
+    r = toxicity.Ratios(t["gram"].to_numpy().view(np.uint64), t["ratio"].to_numpy(), order)
+    words = [*counts, "zz", "abcab", "", "a" * 50]
+    assert np.allclose(r.words(words), [ratio(w) for w in words], atol=1e-4)
+    for most in (8, 50):  # long words are gone through in pieces
+        assert np.allclose(r.words(words, most), r.words(words), atol=1e-4)
+    parts = list(toxicity._grams(order, 40)([pa.RecordBatch.from_pydict({"w": ["ab" * 100], "a": [3], "b": [1]})]))
+    top = [x for p in parts for x in p.to_pylist() if x["n"] < 0]
+    assert sum(x["a"] for x in top) == 3 * 201 and sum(x["b"] for x in top) == 201
+
+
+def ratios_of(spark, counts, order=6):
+    t = toxicity.letter_ratios(spark.createDataFrame([(w, *c) for w, c in counts.items()], "w string, a long, b long"), order).toPandas()
+    return toxicity.Ratios(t["gram"].to_numpy().view(np.uint64), t["ratio"].to_numpy(), order)
+
+
+def test_unseen_words_speak_for_neither(spark):
+    m = ratios_of(spark, {"alpha": (9, 9), "beta": (9, 9), "vile": (0, 7), "vilest": (0, 3)})
+    r = dict(zip(["alpha", "vile", "viles", "qqqq"], m.words(["alpha", "vile", "viles", "qqqq"])))
+    assert r["vile"] > 2 and r["viles"] > 2 and abs(r["qqqq"]) < 0.5 and r["alpha"] < 1
 
 
-def test_unseen_words_speak_for_neither():
-    m = toxicity.KneserNey(["alpha", "beta", "vile", "vilest"], np.array([[9, 9, 0, 0], [9, 9, 7, 3]]))
-    r = dict(zip(["alpha", "vile", "viles", "qqqq"], m.ratios(["alpha", "vile", "viles", "qqqq"])))
-    assert r["vile"] > 2 and r["viles"] > 2 and abs(r["qqqq"]) < 0.5 and r["alpha"] < 1
+def test_long_runs_are_scored_to_their_end(spark):
+    m = ratios_of(spark, {"aaaaaaalpha": (9, 0), "bbbbbbvilest": (0, 9)})
+    whole = m.words(["0" * 80 + "bbbbbbvilest", "0" * 80 + "aaaaaaalpha", "bbbbbbvilest" * 30, "0" * 92])
+    assert whole[3] == 0 and whole[0] > 2 > 0 > whole[1] and whole[2] > 20 * whole[0]
 
 
-def test_long_runs_are_scored_to_their_end():
-    m = toxicity.KneserNey(["aaaaaaalpha", "bbbbbbvilest"], np.array([[9, 0], [0, 9]]))
-    ends = ["0" * 80 + "bbbbbbvilest", "0" * 80 + "aaaaaaalpha", "bbbbbbvilest" * 30, "", "vile"]
-    whole = m.ratios(ends)
-    assert m.ratios(["0" * 92])[0] == 0 and whole[0] > 2 > 0 > whole[1] and whole[2] > 20 * whole[0]
-    for most in (8, 13, 50):  # pieces of a run speak for what the run says
-        assert np.allclose(m.ratios(ends, most), whole)
-    cache = {}
-    x = toxicity.features([ends[0], ends[1]], m, cache)
-    assert x[0, 2] > 2 > x[1, 2] and not cache
+def test_one_splitter_for_training_and_scoring(spark):
+    odd_words = "ne\u0301e हिन्दी a_b É İx don't"
+    got = {r.w: (r.a, r.b) for r in toxicity._word_counts(spark.createDataFrame([(1, odd_words), (0, odd_words + " É"), (0, "")], "y int, text string")).collect()}
+    assert set(got) == set(toxicity.words_of(odd_words)) and got["é"] == (2, 1)
 
 
-def test_model_counted_in_spark_equals_the_local_one(spark):
-    rng = random.Random(12)
-    counts = {"".join(rng.choice("abcdeé😀_1") for _ in range(rng.choice([1, 2, 3, 5, 8, 30]))): (rng.randint(0, 5), rng.randint(0, 5)) for _ in range(600)}
-    words = sorted(counts)
-    want = toxicity.KneserNey(words, np.array([counts[w] for w in words]).T)
-    got = toxicity.count_model(spark.createDataFrame([(w, *counts[w]) for w in words], "w string, a long, b long").repartition(5))
-    assert got.letters == want.letters and len(got.lower) == len(want.lower)
-    for a, b in [(got.seen, want.seen), (got.after, want.after), *((x[i], y[i]) for x, y in zip(got.lower, want.lower) for i in (0, 1))]:
-        assert (a.keys == b.keys).all() and (a.values == b.values).all()
-    assert np.allclose(got.ratios(words + ["zz", "abcab"]), want.ratios(words + ["zz", "abcab"]))
-    parts = list(toxicity._grams(6, 40)([pa.RecordBatch.from_pydict({"w": ["ab" * 100], "a": [3], "b": [1]})]))
-    top = [r for p in parts for r in p.to_pylist() if r["n"] == 0]
-    assert sum(r["a"] for r in top) == 3 * 201 and sum(r["b"] for r in top) == 201
+def test_likelihoods_are_compared_by_length(spark):
+    """The difference is the mean over the words of what the toxic model gains, in itself and padded."""
+    tox = toxicity.Toxicity(None, None, 6, 0.01, 50)
+    tox.ratios = type("Handle", (), {"value": ratios_of(spark, {"alpha": (9, 2), "beta": (5, 2), "vile": (0, 7)})})()
+    one, many = tox.differences(["vile " + "alpha " * 99, "vile alpha beta"], {})
+    gain = {w: np.log(0.99 + 0.01 * np.exp(x)) for w, x in zip(("alpha", "beta", "vile"), tox.ratios.value.words(["alpha", "beta", "vile"]))}
+    assert np.isclose(one, (gain["vile"] + 99 * gain["alpha"]) / 150) and np.isclose(many, sum(gain.values()) / 53)
+    assert tox.differences([None, "", "..."], {}).tolist() == [0.0] * 3
+
+
+def test_a_table_too_large_to_broadcast_is_joined(spark, odd):
+    docs, labels, _ = toxic_corpus(spark, 200)
+    a = toxicity.train_toxicity(docs, labels)
+    b = toxicity.train_toxicity(docs, labels, most_grams=0, most_labels=0)
+    assert b.ratios is None and np.allclose(a.weights, b.weights)
+    for d in (docs, odd):
+        x, y = (sorted((str(r.doc_id), round(r.score, 9), r.predicted) for r in toxicity.score_toxicity(d, t).collect()) for t in (a, b))
+        assert x == y
+    assert toxicity.drop_toxic(odd, b).count() == odd.count() and toxicity.drop_toxic(odd, b).columns == odd.columns
 
 
 def test_counts_take_all_labelled_rows(spark):
-    docs, labels, truth = toxic_corpus(spark, 400)
+    docs, labels, truth = toxic_corpus(spark, 300)
     free = [i for i in truth if zlib.crc32(str(i).encode()) % 3 != 1]
-    tox = toxicity.train_toxicity(docs, labels, per_class=10)
-    text = {r.doc_id: r.text for r in docs.collect()}
-    total = {y: sum(len(w) + 1 for i in free if truth[i] == y for w in set(text[i].split())) for y in (0, 1)}
-    spare = {y: 10 * 200 * 13 for y in (0, 1)}  # more than ten texts can hold
-    for y in (0, 1):  # nothing but the calibration sample is left out of the counts
-        n = sum(truth[i] == y for i in free)
-        got = float(tox.model.seen.values[y].sum(dtype=float))
-        assert total[y] - spare[y] <= got < total[y] and (y or got > total[0] * (n - 12) / n * 0.95)
+    marks = {i: f"qz{i:04d}z" for i in truth}  # a word of its own in each text
+    mark = F.concat(F.lit(" qz"), F.lpad(F.col("doc_id").cast("string"), 4, "0"), F.lit("z"))
+    tox = toxicity.train_toxicity(docs.withColumn("text", F.concat("text", mark)), labels, per_class=10)
+    grams = {i: np.isin(toxicity._full_grams(toxicity.Words([marks[i]]), tox.order)[1:], tox.ratios.value.keys).all() for i in truth}
+    left_out = [i for i in free if not grams[i]]
+    assert 0 < len(left_out) <= 20  # the calibration sample, and nothing else
+    assert sum(grams[i] for i in truth if i not in free) < len(truth) - len(free)
 
 
 def toxic_corpus(spark, n=900):
