@@ -6,13 +6,23 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def numbered(rows: DataFrame, lead: list[Column], rest: list, name: str = "pos", start: int = 0) -> DataFrame:
+    """rows with their number in the order of lead, then rest. Rows are only put in order within equal lead; what stands
+    before each comes from running sums over one row a lead, so no task sees all rows."""
+    keyed = rows.withColumn("__lead", F.struct(*[c.alias(f"k{i}") for i, c in enumerate(lead)]))
+    sums = keyed.groupBy(F.col("__lead").alias("__l")).agg(F.count("*").alias("__n"))
+    before = sums.select("__l", (F.sum("__n").over(Window.orderBy("__l").rowsBetween(Window.unboundedPreceding, 0)) - F.col("__n")).alias("__before"))
+    own = F.row_number().over(Window.partitionBy("__lead").orderBy(*rest))
+    out = keyed.withColumn("__own", own).join(before, F.col("__lead").eqNullSafe(F.col("__l")))
+    return out.withColumn(name, (F.col("__before") + F.col("__own") + (start - 1)).cast("int")).drop("__lead", "__l", "__before", "__own")
+
+
 def natural_order(pages: DataFrame, rtl: bool = False) -> DataFrame:
     """pages (id, video_pos, start, segment, side, include, active) with pos from 0: by video (missing last),
     start, segment, then side in reading direction. Only included, active pages."""
     rank = F.when(F.col("side") == ("R" if rtl else "L"), 0).when(F.col("side") == "S", 0).otherwise(1)
     p = pages.where(F.coalesce("active", F.lit(True)) & F.col("include"))
-    w = Window.orderBy(F.coalesce(F.col("video_pos").cast("double"), F.lit(1e9)), "start", "segment", rank, "id")
-    return p.withColumn("pos", F.row_number().over(w) - 1)
+    return numbered(p, [F.coalesce(F.col("video_pos").cast("double"), F.lit(1e9))], ["start", "segment", rank, "id"])
 
 
 def update_order(natural: DataFrame, manual: DataFrame | None) -> DataFrame:
@@ -21,7 +31,9 @@ def update_order(natural: DataFrame, manual: DataFrame | None) -> DataFrame:
         return natural.select("id", "pos")
     m = manual.select(F.col("id").alias("mid"), F.col("pos").alias("mpos"))
     j = natural.join(m, F.col("id") == F.col("mid"), "left")
-    return j.select("id", (F.row_number().over(Window.orderBy(F.col("mpos").asc_nulls_last(), "pos")) - 1).alias("pos"))
+    some = F.lit(10_000)
+    lead = [F.col("mpos").isNull(), F.floor(F.coalesce("mpos", "pos") / some)]
+    return numbered(j.withColumnRenamed("pos", "npos"), lead, ["mpos", "npos"]).select("id", "pos")
 
 
 def receipt_sort(receipts: DataFrame, by: str) -> DataFrame:
@@ -31,7 +43,7 @@ def receipt_sort(receipts: DataFrame, by: str) -> DataFrame:
     day = [F.col("date").isNull(), F.coalesce(F.col("date").cast("string"), F.lit(""))]
     payee = F.regexp_replace(F.coalesce("payee", F.lit("")), " ", "")
     keys: list[Column] = {"shot": [], "date": day}.get(by, [payee == "", payee, *day])
-    return receipts.select("id", (F.row_number().over(Window.orderBy(*keys, "pos")) - 1).alias("pos"))
+    return numbered(receipts.withColumnRenamed("pos", "was"), [F.floor(F.col("was") / 10_000)] if by == "shot" else keys, ["was"]).select("id", "pos")
 
 
 def is_permutation(order: DataFrame, pages: DataFrame) -> DataFrame:

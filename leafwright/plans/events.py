@@ -271,7 +271,7 @@ def dedupe_chain(spark, sf_dir):
     best = series.run_frames(f, runs).groupBy("video_id", "run").agg(F.max("sharp").alias("sharp"), F.count("*").alias("n"))
     r = runs.join(best.withColumnRenamed("video_id", "v"), (F.col("video_id") == F.col("v")) & (F.col("i0") == F.col("run")))
     seg = r.select("video_id", F.col("i0").alias("segment_id"), "start", "duration", (~F.col("short")).alias("include"), F.least("n", F.lit(3)).alias("n_candidates"), (F.col("n") * 40).alias("keypoints"), "sharp")
-    return sequence.dedupe_chain(seg, lambda a, b: max(0, 200 - 12 * abs(a["sharp"] - b["sharp"])))
+    return sequence.dedupe_chain(seg, lambda c, i, j: max(0, 200 - 12 * abs(int(c["sharp"][i]) - int(c["sharp"][j]))))
 
 
 def session_plan(spark, sf_dir):

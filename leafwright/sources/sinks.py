@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.receipts import FIELDS, LABELS
 from ..functions.scalars import name_part
+from ..operators.ordering import numbered
 
 COLUMNS = ["No", "ID", *[LABELS[k] for k in FIELDS], "状態", "画像", "要確認"]
 STATES = {"manual": "手修正", "import": "一覧から修正", "ai": "AIが修正"}  # fixed values
@@ -19,7 +20,7 @@ def state_label(manual_size: Column, source: Column) -> Column:
 
 def list_rows(receipts: DataFrame) -> DataFrame:
     """receipts (id, pos, the fields, state, labels) as the list's rows, numbered from 1 in output order."""
-    r = receipts.withColumn("No", F.row_number().over(Window.orderBy("pos", "id")))
+    r = numbered(receipts, [F.floor(F.col("pos") / 10_000)], ["pos", "id"], "No", 1)
     image = F.concat(F.format_string("%03d_", "No"), F.coalesce(F.regexp_replace(F.col("date").cast("string"), "-", ""), F.lit("日付不明")), F.lit("_"), name_part(F.col("payee")), F.lit("_"), F.coalesce(F.col("total").cast("string"), F.lit("")), F.lit(".jpg"))
     return r.select("No", F.col("id").alias("ID"), *[F.col(k).cast("string").alias(LABELS[k]) for k in FIELDS], F.col("state").alias("状態"), image.alias("画像"), F.array_join(F.coalesce("labels", F.array().cast("array<string>")), "、").alias("要確認"))
 

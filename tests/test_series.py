@@ -119,11 +119,12 @@ def test_dedupe_chain(spark):
 
     rows = [seg(0, 0, 2), seg(1, 1, 3), seg(2, 1, 3), seg(3, 9, 1), seg(4, 9, 1, kp=10), seg(5, 15, 1), seg(6, 15, 9, cands=0)]
     df = spark.createDataFrame(rows, "video_id long, segment_id long, start double, duration double, include boolean, n_candidates long, keypoints long, sig long")
-    score = lambda a, b: 200 - 20 * abs(a["sig"] - b["sig"])
+    score = lambda c, i, j: 200 - 20 * abs(c["sig"][i] - c["sig"][j])
     got = {r.segment_id: (r.duplicate_of, r.status, r.include) for r in sequence.dedupe_chain(df, score).collect()}
     assert got[0] == (1, "duplicate", False) and got[1] == (None, "", True) and got[2] == (1, "duplicate", False)
     assert got[4][1] == "suspect" and got[5] == (6, "duplicate", False)
     assert got[6][2] is False  # kept for its length, but it has no candidates
+    assert got[3] == (None, "", True) and {r.matched for r in sequence.dedupe_chain(df, score).where("segment_id = 0").collect()} == {None}
     doubt = {r.segment_id: r.status for r in sequence.dedupe_chain(df, score, merge=False).collect()}
     assert doubt[1] == "suspect" and "duplicate" not in doubt.values()
 
