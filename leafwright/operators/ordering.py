@@ -32,7 +32,7 @@ def update_order(natural: DataFrame, manual: DataFrame | None) -> DataFrame:
     m = manual.select(F.col("id").alias("mid"), F.col("pos").alias("mpos"))
     j = natural.join(m, F.col("id") == F.col("mid"), "left")
     some = F.lit(10_000)
-    lead = [F.col("mpos").isNull(), F.floor(F.coalesce("mpos", "pos") / some)]
+    lead = [F.col("mpos").isNull(), F.floor(F.coalesce("mpos", "npos") / some)]
     return numbered(j.withColumnRenamed("pos", "npos"), lead, ["mpos", "npos"]).select("id", "pos")
 
 
