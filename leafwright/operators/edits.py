@@ -70,6 +70,40 @@ def place_photos(segments: DataFrame, photos: DataFrame) -> DataFrame:
     return j.select("seq", F.when(found, F.col("v")).otherwise(F.col("last_video")).alias("video_id"), start.alias("start"))
 
 
+def add_frames(segments: DataFrame, frames: DataFrame) -> DataFrame:
+    """segments (id, video_id, start, end, candidates, chosen, include, manual) after frames (seq, frame_id, video_id, t,
+    segment_id) were added by hand: each is the last candidate of its segment, and the last one of a segment is chosen; one
+    without a segment makes a segment of no length at its time. An unknown segment is left out."""
+    own = frames.where("segment_id is not null").groupBy(F.col("segment_id").alias("s")).agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "frame_id"))), lambda x: x["frame_id"]).alias("more"))
+    j = segments.join(own, F.col("id") == F.col("s"), "left")
+    hit = F.col("more").isNotNull()
+    kept = j.select("id", "video_id", "start", "end", F.when(hit, F.concat(F.coalesce("candidates", F.array().cast("array<string>")), "more")).otherwise(F.col("candidates")).alias("candidates"),
+                    F.when(hit, F.element_at("more", -1)).otherwise(F.col("chosen")).alias("chosen"), (hit | F.col("include")).alias("include"), (hit | F.coalesce("manual", F.lit(False))).alias("manual"))
+    new = frames.where("segment_id is null").select(F.concat(F.lit("m-"), "frame_id").alias("id"), "video_id", F.col("t").alias("start"), F.col("t").alias("end"), F.array("frame_id").alias("candidates"),
+                                                    F.col("frame_id").alias("chosen"), F.lit(True).alias("include"), F.lit(True).alias("manual"))
+    return kept.unionByName(new)
+
+
+def set_geometry(segments: DataFrame, changes: DataFrame, spread: bool = True) -> DataFrame:
+    """segments (id, chosen, width, height, geometry, auto) with geometry set or cleared by hand, and an error.
+
+    geometry and auto: struct(frame_id, bbox array<int>, gutter_x int); they count only for the chosen frame. changes:
+    (id, clear, bbox, gutter_ratio), one a segment. What a change leaves out comes from the geometry set before, else the
+    automatic one, else the whole frame. A segment without a chosen frame, or a fold outside the page, is an error and
+    changes nothing."""
+    c = changes.select(F.col("id").alias("c_id"), F.coalesce("clear", F.lit(False)).alias("c_clear"), F.col("bbox").alias("c_bbox"), F.col("gutter_ratio").alias("c_ratio"))
+    j = segments.join(c, F.col("id") == F.col("c_id"), "left")
+    valid = lambda g: F.when(g["frame_id"] == F.col("chosen"), g)
+    base = F.coalesce(valid(F.col("geometry")), valid(F.col("auto")))
+    box = F.coalesce("c_bbox", base["bbox"], F.array(F.lit(0), F.lit(0), F.col("width"), F.col("height")))
+    fold = F.coalesce(F.bround(F.col("c_ratio") * F.col("width")).cast("int"), base["gutter_x"]) if spread else F.lit(None).cast("int")
+    sets = F.col("c_id").isNotNull() & ~F.col("c_clear")
+    error = F.when(sets & F.col("chosen").isNull(), "no chosen frame").when(sets & fold.isNotNull() & ~((box[0] < fold) & (fold < box[2])), "the fold is outside the page")
+    new = F.struct(F.col("chosen").alias("frame_id"), box.cast("array<int>").alias("bbox"), fold.alias("gutter_x"))
+    out = F.when(sets & error.isNull(), new).when(~F.coalesce(F.col("c_clear"), F.lit(False)), F.col("geometry"))
+    return j.select(*[F.col(x) for x in segments.columns if x != "geometry"], out.alias("geometry"), error.alias("error"))
+
+
 # Settings with their kinds or allowed values.
 SETTINGS = {"layout": ["spread", "single"], "direction": ["ltr", "rtl"], "document": ["book", "receipt"], "page_height_mm": float, "min_still_sec": float, "motion_threshold": float, "receipt_width_mm": float}
 MAY_BE_BLANK = ("motion_threshold", "expected_pages")

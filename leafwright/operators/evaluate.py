@@ -92,6 +92,15 @@ def adoption_totals(truth: DataFrame, adopted: DataFrame, near: float, width: fl
     return n.crossJoin(per).crossJoin(wrong).select("gt_intervals", "found", (F.col("found") / F.col("gt_intervals")).alias("recall"), "included", "false_adoptions", "near_boundary", "duplicates")
 
 
+def worst(rows: DataFrame, by: str, id_col: str, k: int, key: str | None = None) -> DataFrame:
+    """The k rows with the least `by` (ties by id), of each key if one is given. Only k rows of a task and key go on."""
+    order = F.struct(F.col(by), F.col(id_col))
+    if key is None:
+        return rows.orderBy(by, id_col).limit(k)
+    n = F.row_number().over(Window.partitionBy(key).orderBy(order))  # with this filter Spark cuts each task's groups to k before they meet
+    return rows.withColumn("__n", n).where(F.col("__n") <= k).drop("__n")
+
+
 def miss_causes(misses: DataFrame) -> DataFrame:
     """misses (gt, overlaps, some_included, merged, wrong_target, short) -> (cause, n), by the first rule that holds."""
     cause = (F.when(F.col("overlaps") == 0, "not_detected").when(F.col("some_included"), "candidate_outside")

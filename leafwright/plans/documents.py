@@ -416,6 +416,21 @@ i AS (SELECT *, greatest(least(100, x1) - x0, 0) * greatest(least(100, y1) - y0,
 SELECT kind, count(*) AS n, round_even(avg(iou), 6) AS mean, round_even(median(iou), 6) AS middle, avg(CASE WHEN iou >= 0.9 THEN 1.0::DOUBLE ELSE 0 END) AS share90, avg(CASE WHEN iou >= 0.8 THEN 1.0::DOUBLE ELSE 0 END) AS share80, count(*) FILTER (iou < 0.5) AS poor FROM r GROUP BY 1"""
 
 
+def k_worst(spark, sf_dir):
+    """Of each host kind the six pages whose box fits worst."""
+    p = _t(spark, sf_dir, "pages")
+    i = F.col("page_id")
+    iou = signatures.box_iou(F.array(*map(F.lit, (0, 0, 100, 100))), F.array(i % 40, i % 30, 60 + i % 70, 70 + i % 50))
+    rows = p.select("page_id", F.when(F.col("url").startswith("https"), "https").otherwise("http").alias("kind"), F.bround(iou, 9).alias("iou"))
+    return evaluate.worst(rows, "iou", "page_id", 6, "kind")
+
+
+K_WORST = """WITH b AS (SELECT page_id, CASE WHEN starts_with(url, 'https') THEN 'https' ELSE 'http' END AS kind, page_id % 40 AS x0, page_id % 30 AS y0, 60 + page_id % 70 AS x1, 70 + page_id % 50 AS y1 FROM pages),
+i AS (SELECT *, greatest(least(100, x1) - x0, 0) * greatest(least(100, y1) - y0, 0) AS inter, (x1 - x0) * (y1 - y0) AS area FROM b),
+r AS (SELECT page_id, kind, round_even(inter / (10000 + area - inter)::DOUBLE, 9) AS iou FROM i)
+SELECT page_id, kind, iou FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY iou, page_id) AS n FROM r) WHERE n <= 6"""
+
+
 def scalar_rules(spark, sf_dir):
     """The scalar rules over pages."""
     p = _t(spark, sf_dir, "pages")
@@ -444,7 +459,7 @@ ENTITY_SUMMARY = " UNION ALL ".join(f"SELECT '{n}' AS entity, CAST(sum(c) AS BIG
 
 QUERIES = {f.__name__: f for f in (page_min_conf, word_stats, word_lines, receipt_lines, placed_words, terms_found, cer_by_conv, exact_duplicates, revision_keys, stale_pages, pending_pages, ocr_current, review_items,
                                    rule_counts, export_gate, image_only, acknowledged, side_flatmap, natural_order, manual_order, moved_page, order_is_permutation, train_test_split, snapshot_diff, field_confusion,
-                                   miss_causes, orientation_vote, signature_diff, knn_ratio, weighted_quantile, iou_stats, scalar_rules, entity_summary)}
+                                   miss_causes, orientation_vote, signature_diff, knn_ratio, weighted_quantile, iou_stats, k_worst, scalar_rules, entity_summary)}
 SQL = {name: globals()[name.upper()] for name in QUERIES if name.upper() in globals()}
 
 

@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+import csv
+import io
+import json
+import os
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from .. import schemas
 
@@ -45,10 +52,22 @@ def page_sizes(table: DataFrame) -> DataFrame:
     return table.where("level = 1").select("page_id", "width", "height")
 
 
-def receipt_list(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
-    """An edited list with its header; a byte-order mark is taken off, and the column ID must be there."""
-    t = spark.read.option("header", "true").option("encoding", encoding).option("multiLine", "true").option("escape", '"').csv(path)
-    t = t.toDF(*[c.lstrip("﻿").strip() for c in t.columns])
+def receipt_list(spark: SparkSession, path: str, most: int = 20 << 20) -> DataFrame:
+    """An edited list with its header, all columns text; a byte-order mark is taken off, and the column ID must be there.
+
+    A list that is not UTF-8 is read in the older Japanese encoding, which Spark does not decode: it passes through the
+    driver, as no list may be over `most` bytes."""
+    found = spark.read.format("binaryFile").load(path)
+    sizes = found.agg(F.count("*"), F.max("length"), F.bool_and(F.is_valid_utf8(F.col("content").cast("string")))).first()
+    if not sizes[0] or sizes[1] > most:
+        raise ValueError(f"there is no list, or it is over {most >> 20} MB")
+    if sizes[2]:
+        t = spark.read.option("header", "true").option("multiLine", "true").option("escape", '"').csv(path)
+    else:
+        head, *rows = csv.reader(io.StringIO(found.select("content").first()[0].decode("cp932"), newline=""))
+        cells = [[x or None for x in (*r, *[""] * len(head))[: len(head)]] for r in rows if r]
+        t = spark.createDataFrame(cells, StructType([StructField(c, StringType()) for c in head]))
+    t = t.toDF(*[c.lstrip("\ufeff").strip() for c in t.columns])
     if "ID" not in t.columns:
         raise ValueError("the list has no column ID")
     return t
@@ -81,7 +100,38 @@ def corner_truth(spark: SparkSession, path: str) -> DataFrame:
 
 def event_log(spark: SparkSession, path: str) -> DataFrame:
     """JSON lines (t, pid, event, and whatever else as raw text)."""
-    return spark.read.text(path).select(F.from_json("value", "t double, pid bigint, event string").alias("e"), "value").where("e.event is not null").select("e.*", F.col("value").alias("raw"))
+    return _events(spark.read.text(path))
+
+
+class EventTail:
+    """What was added to a log of JSON lines since the last read, by the place in bytes. A last line without its end is left
+    for the next read. One process's own log, read on the driver: for many logs use event_log or a stream."""
+
+    def __init__(self, spark: SparkSession, path: str, at: int = 0):
+        self.spark, self.path, self.at = spark, path, at
+
+    def read(self) -> DataFrame:
+        """(t, pid, event, raw) of the new lines; lines that are no events are passed over."""
+        with open(self.path, "rb") as f:
+            f.seek(self.at)
+            whole, end, _ = f.read().rpartition(b"\n")
+        self.at += len(whole) + len(end)
+        lines = [(x.decode("utf-8", "replace"),) for x in whole.split(b"\n") if x.strip()]
+        return _events(self.spark.createDataFrame(lines, "value string"))
+
+
+def _events(lines: DataFrame) -> DataFrame:
+    return lines.select(F.from_json("value", "t double, pid bigint, event string").alias("e"), "value").where("e.event is not null").select("e.*", F.col("value").alias("raw"))
+
+
+def append_event(path: str, event: str, **data: object) -> None:
+    """One line at the end of a log; a single write, so lines of several writers do not mix."""
+    line = json.dumps({"t": time.time(), "pid": os.getpid(), "event": event, **data}, ensure_ascii=False).encode() + b"\n"
+    at = os.open(path, os.O_WRONLY | os.O_APPEND | os.O_CREAT, 0o644)
+    try:
+        os.write(at, line)
+    finally:
+        os.close(at)
 
 
 def project(spark: SparkSession, path: str) -> dict[str, DataFrame]:
