@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import operator
 import os
 import re
@@ -53,10 +54,20 @@ class _Recent(dict):
             self.clear()
 
 
+# The rules of a vocabulary that CachedTokenizer knows a short way for (fixed values).
+_KNOWN_RULES = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+    "post_processor": None, "truncation": None, "padding": None,
+}
+
+
 class CachedTokenizer:
     """Token ids of whole texts, equal to those of the library on each text.
 
-    The vocabulary's rule drops white space and joins nothing across it, so a text is encoded by its
+    A vocabulary of other rules than _KNOWN_RULES goes through the library text by text. The known rule drops white space and joins nothing across it, so a text is encoded by its
     words, and plain words by their pieces, which go straight to the library's model; each distinct one
     goes there once. Words beyond the plain letters, or with special tokens in them, go through the
     whole library. The caches hold about twice `most` entries, so memory is bounded.
@@ -65,6 +76,9 @@ class CachedTokenizer:
     def __init__(self, path: str, most: int = 80_000):
         from tokenizers import Tokenizer
 
+        with open(path, encoding="utf-8") as f:
+            rules = json.load(f)
+        self.known = all(rules.get(k) == v for k, v in _KNOWN_RULES.items()) and not rules["model"].get("dropout")
         self.library = Tokenizer.from_file(path)
         self.model, self.alphabet = self.library.model, _byte_letters()
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
@@ -105,6 +119,9 @@ class CachedTokenizer:
         """The ids of all texts in a row, and how many each has.
 
         Arrow splits the texts and numbers their distinct words; only those become Python strings."""
+        if not self.known:
+            found = [np.array(e.ids, self.kind) for e in self.library.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
+            return np.concatenate([*found, np.empty(0, self.kind)]), np.fromiter(map(len, found), np.int64, len(found))
         if not pc.any(pc.match_substring(texts, self.mark)).as_py():
             texts = pc.ascii_lower(texts)  # fewer distinct words; special tokens tell the cases apart
         split = pc.ascii_split_whitespace(texts)
