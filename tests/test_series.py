@@ -1,6 +1,7 @@
 """Series operators: the reference's cases as data, and twins in plain loops."""
 
 import random
+import time
 
 import numpy as np
 import pytest
@@ -147,3 +148,38 @@ def test_nearest_and_greedy(spark):
     r = spark.createDataFrame([(0, 0.0, 1), (0, 2.0, 2), (0, 2.0, 3), (0, 3.0, 4)], "k long, t double, id long")
     assert {x.name: x.id for x in evaluate.nearest_asof(q, r, "k", "at", "t", "id").collect()} == {"a": 1, "b": 2, "c": 4, "d": None}
     assert evaluate.greedy_pairs([(1, "L", 0.0), (2, "L", 0.01)], [(7, "L", 0.009), (8, "L", 0.015), (9, "R", 0.0)], 0.02) == [(1, 7), (2, 8)]
+
+
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_error_rate_counts_letters_of_whole_texts(spark):
+
+    rng = random.Random(3)
+    say = lambda n: "".join(rng.choice("aé日 　\n😀b") for _ in range(n))
+    rows = [(i % 7, say(n), say(n + rng.randint(0, 9))) for i, n in enumerate([0, 1, 5, 30, 80, 400, 700, 3, 9, 350])] + [(1, None, "x"), (8, "", "y")]
+    df = spark.createDataFrame(rows, "k long, a string, b string")
+    want = {}
+    for k, a, b in rows:
+        a, b = ("".join((x or "").split()) for x in (a, b))
+        n, m = want.get(k, (0, 0))
+        want[k] = (n + edits(a, b), m + len(a))
+    got = {r.k: r for r in evaluate.error_rate(df, "a", "b", ["k"]).collect()}
+    assert {k: (r.edits, r.chars) for k, r in got.items()} == want and got[8].cer is None
+
+
+def test_time_of_forward_motion_is_in_proportion(spark):
+    """A hot video: a frame up to the end, gone through for each row, would take minutes here."""
+
+    df = spark.range(200_000).selectExpr("0L AS video_id", "id AS event_id", "id / 10.0D AS t", "(id % 17) * 1.0D AS motion").repartition(4)
+    start = time.time()
+    n = series.forward_motion(df).agg(F.sum("forward"), F.count("*")).first()
+    q = spark.range(100_000).selectExpr("0L AS k", "id / 5.0D + 0.03D AS at", "id AS name")
+    near = evaluate.nearest_asof(q, df.selectExpr("video_id AS k", "t", "event_id AS id"), "k", "at", "t", "id").agg(F.count("id")).first()[0]
+    assert n[1] == 200_000 and n[0] == sum((i + 2) % 17 for i in range(199_998)) and near == 100_000 and time.time() - start < 60
