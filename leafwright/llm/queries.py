@@ -67,7 +67,7 @@ def list_entries(pages: DataFrame) -> DataFrame:
     above = p.where("host LIKE '%.%.%'").groupBy(F.regexp_replace("host", r"^[^.]+\.", "").alias("host")).agg(first).selectExpr("'domains' AS list", "'block' AS verdict", "host", "'' AS path", "m")
     parts = p.groupBy("host", F.regexp_extract("path", "^/[^/]+", 0).alias("path")).agg(first).where("path <> ''").selectExpr("'sections' AS list", "if(m % 2 = 0, 'allow', 'block') AS verdict", "host", "path", "m")
     dated = hosts.unionByName(above).unionByName(parts).withColumn("since", F.expr("1704067200 + (m * 104729) % 20000000"))
-    steps = "filter(array(struct('add' AS action, since AS at), struct('remove', if(m % 3 <> 0, since + 2592000, NULL)), struct('add', if(m % 4 <> 0, since + 6048000, NULL))), x -> x.at IS NOT NULL)"
+    steps = "filter(array(struct('add' AS action, since AS at), struct('remove' AS action, if(m % 3 <> 0, since + 2592000, NULL) AS at), struct('add' AS action, if(m % 4 <> 0, since + 6048000, NULL) AS at)), x -> x.at IS NOT NULL)"
     return dated.selectExpr("list", "verdict", "host", "path", f"inline({steps})")
 
 
