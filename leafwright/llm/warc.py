@@ -283,7 +283,9 @@ def find_captures(keys: DataFrame, directory: DataFrame, uri: str, key_col: str
                 for got in _records(records, _of_key(entries, r["key"])):
                     yield got.append_column("key", pa.array([r["key"]] * got.num_rows, pa.string()))
 
-    dealt = durable(places, "warc-places").repartition("file", "offset").sortWithinPartitions("file", "offset", "key")
+    # a place is a few bytes but stands for a record, so Spark must not put small partitions together
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), directory.count() // 20)
+    dealt = durable(places, "warc-places").repartition(tasks, "file", "offset").sortWithinPartitions("file", "offset", "key")
     return dealt.mapInArrow(_joined(read), f"{_RECORD}, key string")
 
 
