@@ -349,7 +349,7 @@ def test_layout_of_token_files(spark, tmp_path):
     """Encodings, bounded row groups and pages, page indexes, and readers that read no more than they need."""
     import pyarrow.parquet as pq
 
-    docs = spark.createDataFrame([(i, " ".join(str(i * k % 997) for k in range(400))) for i in range(3000)], "doc_id long, text string").repartition(2)
+    docs = spark.createDataFrame([(i, " ".join(f"{i * k * 7919 % 999983:x}" for k in range(400))) for i in range(3000)], "doc_id long, text string").repartition(2)
     tokens.write_tokens(docs, f"file://{tmp_path}/t", path(), row_group_mb=1, page_kb=64)
     parts = [pq.ParquetFile(p).metadata for p in sorted((tmp_path / "t").glob("*.parquet"))]
     columns = [g.column(k) for m in parts for g in map(m.row_group, range(m.num_row_groups)) for k in range(g.num_columns)]
@@ -359,7 +359,7 @@ def test_layout_of_token_files(spark, tmp_path):
     assert all(any("DICTIONARY" in e for e in c.encodings) for c in by["tokens"]) and all("DELTA_BINARY_PACKED" in c.encodings for c in by["id"] + by["offset"])
     assert all(c.has_offset_index and c.has_column_index for c in by["id"]) and sum(m.num_row_groups for m in parts) > len(parts)
     plan = lambda df: df._jdf.queryExecution().toString()
-    assert "tokens" not in plan(tokens.read_index(spark, f"file://{tmp_path}/t")).split("ReadSchema")[1]
+    assert "tokens:array" not in plan(tokens.read_index(spark, f"file://{tmp_path}/t"))
     assert "PushedFilters: [In(id" in plan(tokens.read_tokens(spark, f"file://{tmp_path}/t", [3, 5]))
 
 
