@@ -28,6 +28,7 @@ _BASE = 0xD6E8FEB86659FD93
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _PIECE = 1 << 20  # bytes of text gone through at a time
 _PLACE = np.uint64((1 << 21) - 1)
+_SLICE = 1 << 14  # anchors, or contexts with their bytes, looked at together
 _NONE = np.iinfo(np.int64).max  # stands for a null id: later than all others
 
 
@@ -200,14 +201,20 @@ def _shared(rule: Rule):
 class _Contexts:
     """The contexts of a group's documents, and which of them are equal.
 
-    Instances: row, place (of the first window in the text), windows, context. Distinct contexts: bucket,
-    tag, size, off (of the anchor), least (smallest id that has it), and their bytes. The order of both
-    depends on nothing but the documents."""
+    The texts stand one behind the other, a byte apart. Instances: at (place of the first window there),
+    windows, context. Distinct contexts: tag, size, off (of the anchor), first (place of its first instance),
+    least (smallest id that has it). The order of both depends on nothing but the documents. Hot anchors have
+    an instance a byte of text, so contexts are no more than places, and bytes are looked at _SLICE at a time."""
 
     def __init__(self, rule: Rule, docs: pa.Table, shared: pa.Table):
         ids, texts = docs.column("id").fill_null(_NONE).to_numpy(), _encoded(docs.column("text"))
-        self.rows = sorted(range(len(texts)), key=lambda i: (ids[i], texts[i]))
-        self.ids, self.texts = ids[self.rows], [texts[i] for i in self.rows]
+        rows = sorted(range(len(texts)), key=lambda i: (ids[i], texts[i]))
+        self.ids, self.texts = ids[rows], [texts[i] for i in rows]
+        lens = np.fromiter(map(len, self.texts), np.int64, len(rows))
+        self.starts = np.cumsum(lens + 1) - lens - 1
+        joined = np.frombuffer(b"\0".join([*self.texts, bytes(rule.span)]), np.uint8)
+        self.view = np.lib.stride_tricks.sliding_window_view(joined, rule.span)
+        self.step = np.arange(rule.span)
         keys, hot = [np.empty(0, np.uint64)], [np.empty(0, bool)]
         for b, t, x in zip(shared.column("bucket").to_pylist(), shared.column("tags").to_pylist(), shared.column("hot").to_pylist()):
             if t:
@@ -217,37 +224,66 @@ class _Contexts:
         key, hot = np.concatenate(keys), np.concatenate(hot)
         order = np.argsort(key)
         key, hot = key[order], hot[order]
-        out: list[tuple] = []
+        place_type = np.int32 if len(joined) < 1 << 31 else np.int64
+        e = np.empty(0, np.int64)
+        instances = [(e.astype(place_type), e.astype(np.uint8), e.astype(np.int32))]
+        found = [(e.astype(np.uint64), e.astype(np.uint64), e.astype(place_type), e.astype(np.uint8), e.astype(np.uint8))]
+        n = 0
         for buf, segment, row, place, start in _pieces(self.texts, rule.length) if len(key) else ():
             h, first, last, at, prefix = rule.anchors(buf, segment)
             mine = rule.tag(h) * np.uint64(rule.buckets) + rule.bucket(h).astype(np.uint64)
             k = np.minimum(np.searchsorted(key, mine), len(key) - 1)
-            ok = key[k] == mine
-            h, first, last, at, is_hot = h[ok], first[ok], last[ok], at[ok], hot[k[ok]]
-            if is_hot.any():  # windows of hot anchors are dealt out one by one, by their own hash
-                n = (last - first + 1)[is_hot]
-                f = np.repeat(first[is_hot] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                own = _mix((prefix[f + rule.length] - prefix[f]) * _INV[f] + np.uint64(1))
-                h, first, last, at = (np.concatenate([x[~is_hot], y]) for x, y in ((h, own), (first, f), (last, f), (at, f)))
-            size = last - first + rule.length
-            body = buf[np.minimum(first[:, None] + np.arange(rule.span), len(buf) - 1)]
-            body = np.where(np.arange(rule.span) < size[:, None], body, np.uint8(0))
-            own = _mix((prefix[first + size] - prefix[first]) * _INV[first] + (size * 256 + at - first).astype(np.uint64))
-            s = segment[first]
-            out.append((h, own, row[s], first - start[s] + place[s], size, at - first, body))
-        if out:
-            h, own, row, where, size, off, body = (np.concatenate(x) for x in zip(*out))
-        else:
-            e = np.empty(0, np.int64)
-            h, own, row, where, size, off, body = e.astype(np.uint64), e.astype(np.uint64), e, e, e, e, np.empty((0, rule.span), np.uint8)
-        order = np.lexsort((where, row, own, h))
-        h, own, row, where, size, off, body = (x[order] for x in (h, own, row, where, size, off, body))
-        new = _starts(h, own, size, off, body)
-        self.row, self.where, self.windows = row, where, size - rule.length + 1
-        self.context = np.cumsum(new) - 1
-        first = np.flatnonzero(new)
-        self.h, self.size, self.off, self.body = h[first], size[first], off[first], body[first]
-        self.least = np.minimum.reduceat(self.ids[row], first) if len(first) else np.empty(0, np.int64)
+            ok = np.flatnonzero(key[k] == mine)
+            shift = self.starts[row] + place - start
+            for part in (ok[i : i + _SLICE] for i in range(0, len(ok), _SLICE)):
+                some = self._windows(rule, h[part], first[part], last[part], at[part], hot[k[part]], prefix)
+                some = *some[:2], (some[2] + shift[segment[some[2]]]).astype(place_type), *some[3:]
+                context, own = self._equal(*some)
+                instances.append((some[2], some[3] - np.uint8(rule.length - 1), context + np.int32(n)))
+                found.append(tuple(x[own] for x in some))
+                n += len(own)
+        self.at, self.windows, context = (np.concatenate(x) for x in zip(*instances))
+        del instances
+        found = [np.concatenate(x) for x in zip(*found)]
+        of, own = self._equal(*found)
+        self.context = of[context]
+        self.h, _, self.first, self.size, self.off = (x[own] for x in found)
+        self.least = self.ids[self.rows(self.first)]  # texts come by id
+
+    @staticmethod
+    def _windows(rule: Rule, h, first, last, at, hot, prefix) -> tuple[np.ndarray, ...]:
+        """Hash of the anchor and of the whole, first window, size and place of the anchor inside."""
+        if hot.any():  # windows of hot anchors are dealt out one by one, by their own hash
+            n = (last - first + 1)[hot]
+            f = np.repeat(first[hot] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            own = _mix((prefix[f + rule.length] - prefix[f]) * _INV[f] + np.uint64(1))
+            h, first, last, at = (np.concatenate([x[~hot], y]) for x, y in ((h, own), (first, f), (last, f), (at, f)))
+        size = last - first + rule.length
+        own = _mix((prefix[first + size] - prefix[first]) * _INV[first] + (size * 256 + at - first).astype(np.uint64))
+        return h, own, first, size.astype(np.uint8), (at - first).astype(np.uint8)
+
+    def _equal(self, h, own, at, size, off) -> tuple[np.ndarray, np.ndarray]:
+        """A number for each row, the same for equal contexts, and the first row of each number. Equal hashes are checked by bytes."""
+        order = np.lexsort((own, h))
+        a, b = order[:-1], order[1:]
+        same = (h[b] == h[a]) & (own[b] == own[a]) & (size[b] == size[a]) & (off[b] == off[a])
+        i = np.flatnonzero(same)
+        for part in (i[k : k + _SLICE] for k in range(0, len(i), _SLICE)):
+            x, y = order[part], order[part + 1]
+            like = self.view[at[x]] == self.view[at[y]]
+            same[part] = (like | (self.step >= size[x, None])).all(axis=1)
+        new = np.ones(len(order), bool)
+        new[1:] = ~same
+        number = np.empty(len(order), np.int32)
+        number[order] = np.cumsum(new, dtype=np.int32) - np.int32(1)
+        return number, order[new]
+
+    def rows(self, at: np.ndarray) -> np.ndarray:
+        """The texts that the places are in."""
+        return np.searchsorted(self.starts, at, "right") - 1
+
+    def bodies(self, contexts: np.ndarray) -> bytes:
+        return self.view[self.first[contexts]][self.step < self.size[contexts, None]].tobytes()
 
 
 def _starts(h, own, size, off, body) -> np.ndarray:
@@ -275,9 +311,8 @@ def _context_rows(rule: Rule):
             pack = zstandard.ZstdCompressor(level=1)
             for i, j in zip(cut[:-1], cut[1:]):
                 o = order[i:j]
-                mask = np.arange(rule.span) < c.size[o][:, None]
-                raw = b"".join([np.array([len(o)], "<u4").tobytes(), _pack40(rule.tag(c.h[o])), o.astype("<u4").tobytes(), c.size[o].astype(np.uint8).tobytes(),
-                                c.off[o].astype(np.uint8).tobytes(), c.least[o].astype("<i8").tobytes(), c.body[o][mask].tobytes()])
+                raw = b"".join([np.array([len(o)], "<u4").tobytes(), _pack40(rule.tag(c.h[o])), o.astype("<u4").tobytes(), c.size[o].tobytes(),
+                                c.off[o].tobytes(), c.least[o].astype("<i8").tobytes(), c.bodies(o)])
                 buckets.append(int(bucket[order[i]]))
                 blobs.append(pack.compress(raw))
         return pa.table({"bucket": pa.array(buckets, pa.int32()), "g": pa.array([g] * len(buckets), pa.int32()), "blob": pa.array(blobs, pa.binary())})
@@ -368,12 +403,11 @@ class Suffixes:
         i = np.flatnonzero(segment[a] == segment[b])
         like = self.common(a[i], b[i]) >= self.length
         i = i[like]
-        for part in np.array_split(i, max(1, len(i) >> 18)):
-            step = np.arange(self.length)
-            x = self.body[self.row[a[part], None], self.start[a[part], None] + step]
-            y = self.body[self.row[b[part], None], self.start[b[part], None] + step]
-            if not (x == y).all():
-                window = np.concatenate([segment.astype(">u4").view(np.uint8).reshape(-1, 4), self.body[self.row[:, None], self.start[:, None] + step]], axis=1)
+        place = self.row * self.body.shape[1] + self.start
+        view = np.lib.stride_tricks.sliding_window_view(self.body.ravel(), self.length)
+        for part in (i[k : k + 4 * _SLICE] for k in range(0, len(i), 4 * _SLICE)):
+            if not (view[place[a[part]]] == view[place[b[part]]]).all():
+                window = np.concatenate([segment.astype(">u4").view(np.uint8).reshape(-1, 4), view[place]], axis=1)
                 return np.unique(np.ascontiguousarray(window).view(f"V{window.shape[1]}").ravel(), return_inverse=True)[1]
         new[i + 1] = False
         out = np.empty(len(order), np.int64)
@@ -443,27 +477,26 @@ def _removed(rule: Rule, docs: pa.Table, side: pa.Table) -> tuple[_Contexts, lis
         raw = zstandard.decompress(blob)
         n = len(raw) // 12
         mask[np.frombuffer(raw, "<u4", n)] = np.frombuffer(raw, "<u8", n, 4 * n)
-    bits = mask[c.context]
-    full = (np.uint64(1) << c.windows.astype(np.uint64)) - np.uint64(1)
-    bits = np.where(c.ids[c.row] > c.least[c.context], full, bits) if len(bits) else bits
-    rows, starts = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-    for j in range(rule.w):
-        on = np.flatnonzero(bits >> np.uint64(j) & np.uint64(1))
-        rows.append(c.row[on])
-        starts.append(c.where[on] + j)
-    row, start = np.concatenate(rows), np.concatenate(starts)
-    order = np.lexsort((start, row))
-    row, start = row[order], start[order]
-    new = np.ones(len(row), bool)
-    new[1:] = (row[1:] != row[:-1]) | (start[1:] > start[:-1] + rule.length)
+    lost = np.zeros(len(c.view), bool)  # windows that an earlier document has, by their places
+    for i in range(0, len(c.at), 4 * _SLICE):
+        at, context = c.at[i : i + 4 * _SLICE], c.context[i : i + 4 * _SLICE]
+        full = (np.uint64(1) << c.windows[i : i + 4 * _SLICE].astype(np.uint64)) - np.uint64(1)
+        bits = np.where(c.ids[c.rows(at)] > c.least[context], full, mask[context])
+        while bits.any():
+            lost[at[(bits & np.uint64(1)).astype(bool)]] = True
+            at, bits = at + 1, bits >> np.uint64(1)
+    start = np.flatnonzero(lost)
+    new = np.ones(len(start), bool)
+    new[1:] = start[1:] > start[:-1] + rule.length  # always so between texts, which are a byte apart
     a = np.flatnonzero(new)
-    b = np.concatenate([a[1:], [len(row)]]) - 1 if len(a) else a
+    b = np.concatenate([a[1:], [len(start)]]) - 1 if len(a) else a
     out = [np.empty((0, 2), np.int64)] * len(c.texts)
     if len(a):
-        spans = np.stack([start[a], start[b] + rule.length], axis=1)
-        cut = np.concatenate([[0], np.flatnonzero(np.diff(row[a])) + 1, [len(a)]])
+        row = c.rows(start[a])
+        spans = np.stack([start[a], start[b] + rule.length], axis=1) - c.starts[row, None]
+        cut = np.concatenate([[0], np.flatnonzero(np.diff(row)) + 1, [len(a)]])
         for i, j in zip(cut[:-1], cut[1:]):
-            out[row[a[i]]] = spans[i:j]
+            out[row[i]] = spans[i:j]
     return c, out
 
 

@@ -2,8 +2,11 @@
 
 import hashlib
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import functions as F
 
@@ -227,6 +230,30 @@ def test_buffers_fit_their_places():
         assert [b for _, b in sorted(spans)][:-1] == [a for a, _ in sorted(spans)][1:] and max(spans)[1] == len(texts[row]) - 49
 
 
+def test_hot_windows_take_little_memory():
+    rng = np.random.default_rng(6)
+    copy = rng.integers(97, 123, 4_000, dtype=np.uint8).tobytes().decode()
+    texts = [copy if i % 2 else copy[:2_000] + "".join(map(chr, rng.integers(97, 123, 2_000))) for i in range(200)]
+    docs = pa.table({"g": pa.array([0] * 200, pa.int32()), "id": pa.array(range(200), pa.int64()), "text": texts})
+    rule = suffix_dedup.Rule(50, 24, 8, 8, 10)
+    found = pa.Table.from_batches(list(suffix_dedup._anchor_rows(rule)(docs.select(["g", "text"]).to_batches())))
+    own = [suffix_dedup._shared(rule)(found.filter(pc.equal(found["bucket"], b))) for b in found["bucket"].unique()]
+    shared = pa.concat_tables(own).append_column("masks", pa.nulls(sum(x.num_rows for x in own), pa.binary()))
+    tracemalloc.start()
+    try:
+        sent = suffix_dedup._context_rows(rule)(docs, shared)
+        first = tracemalloc.get_traced_memory()[1]
+        tracemalloc.reset_peak()
+        c, spans = suffix_dedup._removed(rule, docs, shared)
+        second = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert sent.num_rows == 8 and max(first, second) < 150 << 20  # every window of 800 KB of text stands alone
+    want = brute_repeats([(i, t.encode()) for i, t in enumerate(texts)], 50)
+    kept = [hashlib.sha256(suffix_dedup._keep(t, x)).hexdigest() for t, x in zip(c.texts, spans)]
+    assert [[(int((x[:, 1] - x[:, 0]).sum()), len(x), k)] for x, k in zip(spans, kept)] == [[w[1:] for w in want[i]] for i in range(200)]
+
+
 def test_long_text_in_pieces(spark, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "_PIECE", 100)
     docs = [(i, t.encode()) for i, t in corpus(2, 20)]
