@@ -183,3 +183,11 @@ def test_time_of_forward_motion_is_in_proportion(spark):
     q = spark.range(100_000).selectExpr("0L AS k", "id / 5.0D + 0.03D AS at", "id AS name")
     near = evaluate.nearest_asof(q, df.selectExpr("video_id AS k", "t", "event_id AS id"), "k", "at", "t", "id").agg(F.count("id")).first()[0]
     assert n[1] == 200_000 and n[0] == sum((i + 2) % 17 for i in range(199_998)) and near == 100_000 and time.time() - start < 60
+
+
+def test_ratio_matches_counts_the_highest_bit(spark):
+    from leafwright.kernels import signatures
+
+    rows = spark.createDataFrame([(0, [1.0] * 64), (1, [-1.0] * 2 + [1.0] * 62), (2, [-1.0] * 40 + [1.0] * 24), (3, [1.0] * 20 + [-1.0] * 44)], "vec_id long, v array<double>")
+    e = rows.select("vec_id", signatures.sign_bits(F.col("v")).alias("bits"))
+    assert [tuple(r) for r in signatures.ratio_matches(e.where("vec_id = 0"), e, 0.75).collect()] == [(0, 1, 2, 40)]
