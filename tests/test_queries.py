@@ -81,3 +81,13 @@ def test_entry_without_the_training_data_operators(tmp_path):
     code = "import sys; sys.path.insert(0, '.'); import __spark_entry__ as e; q = e.queries(); assert q and set(e.oracle_sql()) <= set(q); assert not any(n.startswith('op') and n[2].isdigit() for n in q) and 'pipeline' not in q; print(len(q))"
     done = subprocess.run([sys.executable, "-B", "-c", code], cwd=tmp_path, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"}, capture_output=True, text=True)
     assert done.returncode == 0, done.stderr
+
+
+def shuffles(df) -> list[str]:
+    return [x for x in df._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange " in x]
+
+
+@pytest.mark.parametrize("name", ["receipt_lines", "placed_words", "word_stats", "page_min_conf"])
+def test_texts_are_shuffled_but_not_their_words(spark, name):
+    got = shuffles(registry.queries()[name](spark, DATA))
+    assert len(got) == 1 and "page_id" in got[0]
