@@ -34,11 +34,20 @@ def word_stats(words: DataFrame) -> DataFrame:
     return s.select("page_id", "chars", F.bround(F.col("s") / F.col("chars"), 1).alias("mean_conf"), "sure_chars")
 
 
+def _latin(c: Column) -> Column:
+    """Whether a character is a Latin letter or digit."""
+    return c.between("0", "9") | c.between("A", "Z") | c.between("a", "z")
+
+
+def _token(text: Column, nxt: Column) -> Column:
+    """text, and a space where it ends and the next word starts with a Latin letter or digit."""
+    return F.when(_latin(F.substring(text, -1, 1)) & _latin(F.substring(nxt, 1, 1)), F.concat(text, F.lit(" "))).otherwise(text)
+
+
 def spaced(words: DataFrame) -> DataFrame:
     """words with token: a space follows only between a word that ends and one that starts with a Latin letter or digit."""
     nxt = F.lead("text").over(Window.partitionBy("page_id", "block", "par", "line").orderBy("left", "word"))
-    gap = F.col("text").rlike("[A-Za-z0-9]$") & nxt.rlike("^[A-Za-z0-9]")
-    return words.withColumn("token", F.when(gap, F.concat("text", F.lit(" "))).otherwise(F.col("text")))
+    return words.withColumn("token", _token(F.col("text"), nxt))
 
 
 def line_texts(words: DataFrame) -> DataFrame:
@@ -59,11 +68,12 @@ def receipt_lines(words: DataFrame) -> DataFrame:
 
 def placed(words: DataFrame, page_w: int, page_h: int, pt_w: float, pt_h: float) -> DataFrame:
     """Words with size, x, base_y (points) and stretch (percent): each reaches to the start of the next of its line."""
-    line = Window.partitionBy("page_id", "block", "par", "line")
-    sx, sy = pt_w / page_w, pt_h / page_h
-    bottom = F.max(F.col("top") + F.col("height")).over(line)
-    w = spaced(words).withColumn("size", F.greatest(F.lit(1.0), (bottom - F.min("top").over(line)) * sy)).withColumn("base_y", pt_h - bottom * sy + 0.12 * F.col("size"))
-    end = F.coalesce(F.lead("left").over(line.orderBy("left", "word")), F.col("left") + F.col("width")) * sx
-    natural = F.octet_length(F.encode("token", "UTF-16BE")) / 2 * GLYPH_WIDTH * F.col("size")
-    w = w.withColumn("x", F.col("left") * sx).withColumn("stretch", F.greatest(F.lit(1.0), (end - F.col("x")) / natural * 100))
-    return w.withColumn("hex", F.upper(F.hex(F.encode("token", "UTF-16BE"))))
+    order = Window.partitionBy("page_id", "block", "par", "line").orderBy("left", "word")
+    line, sx, sy = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing), pt_w / page_w, pt_h / page_h
+    # of one order, so that Spark goes through the lines once
+    w = words.withColumn("__low", F.col("top") + F.col("height")).withColumns({"__next": F.lead("text").over(order), "__end": F.lead("left").over(order), "__top": F.min("top").over(line), "__bottom": F.max("__low").over(line)})
+    w = w.withColumns({"token": _token(F.col("text"), F.col("__next")), "size": F.greatest(F.lit(1.0), (F.col("__bottom") - F.col("__top")) * sy), "x": F.col("left") * sx})
+    w = w.withColumns({"base_y": pt_h - F.col("__bottom") * sy + 0.12 * F.col("size"), "hex": F.upper(F.hex(F.encode("token", "UTF-16BE")))})
+    end = F.coalesce("__end", F.col("left") + F.col("width")) * sx
+    natural = F.length("hex") / 4 * GLYPH_WIDTH * F.col("size")
+    return w.withColumn("stretch", F.greatest(F.lit(1.0), (end - F.col("x")) / natural * 100)).drop("__low", "__next", "__end", "__top", "__bottom")

@@ -141,3 +141,13 @@ def test_sort(spark):
     assert order("date") == ["b", "c", "a", "d"] and order("payee") == ["c", "a", "b", "d"] == order("payee_date") and order("shot") == list("abcd")
     with pytest.raises(ValueError):
         order("size")
+
+
+def test_a_carriage_return_ends_no_latin_word(spark):
+    from leafwright.operators import words
+
+    w = spark.createDataFrame([(1, 0, 1, 0, 0, 0, 0, 90, 12, "ab\r"), (1, 0, 1, 0, 1, 100, 1, 90, 12, "cd"), (1, 0, 1, 0, 2, 200, 2, 90, 12, "éx"), (1, 0, 1, 0, 3, 300, 2, 90, 12, "9")],
+                              "page_id long, block long, par int, line long, word int, left int, top long, width int, height int, text string")
+    p = words.placed(w, 800, 4000, 595.0, 842.0)
+    assert [r.token for r in p.orderBy("word").collect()] == ["ab\r", "cd", "éx ", "9"]
+    assert p._jdf.queryExecution().executedPlan().toString().count("Window [") == 1
