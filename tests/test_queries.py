@@ -91,3 +91,8 @@ def shuffles(df) -> list[str]:
 def test_texts_are_shuffled_but_not_their_words(spark, name):
     got = shuffles(registry.queries()[name](spark, DATA))
     assert len(got) == 1 and "page_id" in got[0]
+
+
+def test_terms_meet_their_words_without_a_shuffle_of_words(spark):
+    got = shuffles(registry.queries()["confidence_sweep"](spark, DATA))
+    assert len([x for x in got if "SinglePartition" not in x]) == 1 and "page_id" in " ".join(got) and "term" not in " ".join(got)
