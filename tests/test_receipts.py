@@ -151,3 +151,9 @@ def test_a_carriage_return_ends_no_latin_word(spark):
     p = words.placed(w, 800, 4000, 595.0, 842.0)
     assert [r.token for r in p.orderBy("word").collect()] == ["ab\r", "cd", "éx ", "9"]
     assert p._jdf.queryExecution().executedPlan().toString().count("Window [") == 1
+
+
+def test_names_are_looked_for_once(spark):
+    assert all(any(x in cue for x in receipts.CUE_LETTERS) for cue in receipts.TOTAL_CUES)
+    plan = spark.range(1).select(receipts.parse_column(F.lit("x"), 2026).alias("r"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("レシート") == 1
