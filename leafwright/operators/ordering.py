@@ -6,15 +6,38 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def numbered(rows: DataFrame, lead: list[Column], rest: list, name: str = "pos", start: int = 0) -> DataFrame:
-    """rows with their number in the order of lead, then rest. Rows are only put in order within equal lead; what stands
-    before each comes from running sums over one row a lead, so no task sees all rows."""
-    keyed = rows.withColumn("__lead", F.struct(*[c.alias(f"k{i}") for i, c in enumerate(lead)]))
-    sums = keyed.groupBy(F.col("__lead").alias("__l")).agg(F.count("*").alias("__n"))
-    before = sums.select("__l", (F.sum("__n").over(Window.orderBy("__l").rowsBetween(Window.unboundedPreceding, 0)) - F.col("__n")).alias("__before"))
-    own = F.row_number().over(Window.partitionBy("__lead").orderBy(*rest))
-    out = keyed.withColumn("__own", own).join(before, F.col("__lead").eqNullSafe(F.col("__l")))
-    return out.withColumn(name, (F.col("__before") + F.col("__own") + (start - 1)).cast("int")).drop("__lead", "__l", "__before", "__own")
+def _bounds(keys: DataFrame, most: int, some: int) -> list:
+    """Keys that part the rows into stretches of about `some`, `most` stretches at the most: every so many of a sorted sample."""
+    n = keys.count()
+    parts = min(most, -(-n // some))
+    if parts < 2:
+        return []
+    sample = [r[0] for r in keys.sample(min(1.0, 100 * parts / n), 7).distinct().orderBy("__key").collect()]
+    return [sample[i] for i in sorted({len(sample) * k // parts for k in range(1, parts)})] if sample else []
+
+
+def _stretch(key: Column, bounds: list[Column], at: int = 0) -> Column:
+    """How many of the bounds are not above the key, by halving."""
+    if not bounds:
+        return F.lit(at)
+    m = len(bounds) // 2
+    return F.when(key < bounds[m], _stretch(key, bounds[:m], at)).otherwise(_stretch(key, bounds[m + 1 :], at + m + 1))
+
+
+def numbered(rows: DataFrame, lead: list[Column], rest: list, name: str = "pos", start: int = 0, some: int = 100_000, most: int = 256) -> DataFrame:
+    """rows with their number in the order of lead, then rest. Rows are only put in order within stretches of the order, whose
+    ends come from a sample of the keys; what stands before each comes from running sums over one row a stretch, so no task
+    sees all rows, nor all different keys. Whatever the sample, the numbers are exact."""
+    parts = [*lead, *(F.col(c) if isinstance(c, str) else c for c in rest)]
+    keyed = rows.withColumn("__key", F.struct(*[c.alias(f"k{i}") for i, c in enumerate(parts)]))
+    kinds = keyed.schema["__key"].dataType.fields
+    bounds = [F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(b, kinds)]) for b in _bounds(keyed.select("__key"), most, some)]
+    keyed = keyed.withColumn("__part", _stretch(F.col("__key"), bounds))
+    sums = keyed.groupBy(F.col("__part").alias("__p")).agg(F.count("*").alias("__n"))
+    before = sums.select("__p", (F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, 0)) - F.col("__n")).alias("__before"))
+    own = F.row_number().over(Window.partitionBy("__part").orderBy("__key"))
+    out = keyed.withColumn("__own", own).join(F.broadcast(before), F.col("__part") == F.col("__p"))
+    return out.withColumn(name, (F.col("__before") + F.col("__own") + (start - 1)).cast("int")).drop("__key", "__part", "__p", "__before", "__own")
 
 
 def natural_order(pages: DataFrame, rtl: bool = False) -> DataFrame:

@@ -157,3 +157,14 @@ def test_names_are_looked_for_once(spark):
     assert all(any(x in cue for x in receipts.CUE_LETTERS) for cue in receipts.TOTAL_CUES)
     plan = spark.range(1).select(receipts.parse_column(F.lit("x"), 2026).alias("r"))._jdf.queryExecution().analyzed().toString()
     assert plan.count("レシート") == 1
+
+
+def test_numbers_of_many_stretches(spark):
+    """Half of the rows have one key, the others one each: stretches are of like size all the same."""
+    rows = spark.range(5_000).selectExpr("id * 7919 % 5000 AS was", "CASE WHEN id % 2 = 0 THEN 'same' WHEN id % 31 = 0 THEN NULL ELSE concat('n', id % 997, 'é') END AS name").cache()
+    got = ordering.numbered(rows, [F.col("name").isNull(), F.col("name")], ["was"], start=1, some=100)
+    want = sorted(map(tuple, rows.select("was", "name").collect()), key=lambda r: (r[1] is None, r[1] or "", r[0]))
+    assert [(r.was, r.name, r.pos) for r in got.orderBy("pos").collect()] == [(*r, i) for i, r in enumerate(want, 1)]
+    bounds = ordering._bounds(rows.select(F.struct(F.col("name").isNull().alias("k0"), F.col("name").alias("k1"), F.col("was").alias("k2")).alias("__key")), 256, 100)
+    sizes = [r[1] for r in rows.groupBy(ordering._stretch(F.struct(F.col("name").isNull().alias("k0"), F.col("name").alias("k1"), F.col("was").alias("k2")), [F.struct(F.lit(b[0]).alias("k0"), F.lit(b[1]).cast("string").alias("k1"), F.lit(b[2]).cast("long").alias("k2")) for b in bounds])).count().collect()]
+    assert len(sizes) > 40 and max(sizes) < 300
