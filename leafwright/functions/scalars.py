@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -50,6 +51,22 @@ def found_in(text: Column, term: Column) -> Column:
     return F.contains(F.lower(text), F.lower(term))
 
 
+def not_found(text: Column, terms: Column) -> Column:
+    """Places (from 0) of the terms that are nowhere in the text. Terms are without spaces and line ends, so a term is in the text
+    if it is in one of its words: most are words themselves, and others are looked for in the different words only."""
+
+    @F.pandas_udf("array<int>")
+    def missing(texts: pd.Series, terms: pd.Series) -> pd.Series:
+        out = []
+        for text, some in zip(texts, terms):
+            words = set(text.replace("\n", " ").split(" "))
+            hay = " ".join(words)
+            out.append([i for i, x in enumerate(some) if x not in words and x not in hay])
+        return pd.Series(out, dtype=object)
+
+    return missing(text, terms)
+
+
 def augmented(head: Column, old: Column, digits: Column) -> Column:
     """A re-read amount line: what stood before the amount, then the digits as yen; the old line where nothing was re-read."""
     return F.when(digits.isNotNull(), F.concat(F.rtrim(head), F.lit(" ¥"), digits)).otherwise(old)

@@ -24,15 +24,33 @@ def _stretch(key: Column, bounds: list[Column], at: int = 0) -> Column:
     return F.when(key < bounds[m], _stretch(key, bounds[:m], at)).otherwise(_stretch(key, bounds[m + 1 :], at + m + 1))
 
 
+def _in_stretches(rows: DataFrame, order: list[Column], some: int, most: int) -> DataFrame:
+    """rows with __key, the order's columns, and __part, the number of the stretch of the order that they are in."""
+    keyed = rows.withColumn("__key", F.struct(*[c.alias(f"k{i}") for i, c in enumerate(order)]))
+    kinds = keyed.schema["__key"].dataType.fields
+    bounds = [F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(b, kinds)]) for b in _bounds(keyed.select("__key"), most, some)]
+    return keyed.withColumn("__part", _stretch(F.col("__key"), bounds))
+
+
+def with_previous(rows: DataFrame, key: str, order: str, value: str, name: str, some: int = 2_000, most: int = 512) -> DataFrame:
+    """rows with the value of the row before in the order, of the same key, as name, and whether there is such a row as
+    has_<name>. Also where most rows have one key, a task sees a stretch of them only; the last row of each stretch is handed on."""
+    keyed = _in_stretches(rows.withColumn("__row", F.struct(F.col(key).alias("k"), F.col(value).alias("v"))), [F.col(key), F.col(order)], some, most)
+    last = keyed.groupBy(F.col("__part").alias("__p")).agg(F.max_by("__row", "__key").alias("__l"))
+    last = last.select("__p", F.lag("__l").over(Window.orderBy("__p")).alias("__l"))
+    own = F.lag("__row").over(Window.partitionBy("__part").orderBy("__key"))
+    out = keyed.withColumn("__own", own).join(F.broadcast(last), F.col("__part") == F.col("__p"))
+    before = F.coalesce("__own", "__l")
+    same = before.isNotNull() & before["k"].eqNullSafe(F.col(key))
+    return out.withColumns({name: F.when(same, before["v"]), f"has_{name}": same}).drop("__row", "__key", "__part", "__p", "__l", "__own")
+
+
 def numbered(rows: DataFrame, lead: list[Column], rest: list, name: str = "pos", start: int = 0, some: int = 100_000, most: int = 256) -> DataFrame:
     """rows with their number in the order of lead, then rest. Rows are only put in order within stretches of the order, whose
     ends come from a sample of the keys; what stands before each comes from running sums over one row a stretch, so no task
     sees all rows, nor all different keys. Whatever the sample, the numbers are exact."""
     parts = [*lead, *(F.col(c) if isinstance(c, str) else c for c in rest)]
-    keyed = rows.withColumn("__key", F.struct(*[c.alias(f"k{i}") for i, c in enumerate(parts)]))
-    kinds = keyed.schema["__key"].dataType.fields
-    bounds = [F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(b, kinds)]) for b in _bounds(keyed.select("__key"), most, some)]
-    keyed = keyed.withColumn("__part", _stretch(F.col("__key"), bounds))
+    keyed = _in_stretches(rows, parts, some, most)
     sums = keyed.groupBy(F.col("__part").alias("__p")).agg(F.count("*").alias("__n"))
     before = sums.select("__p", (F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, 0)) - F.col("__n")).alias("__before"))
     own = F.row_number().over(Window.partitionBy("__part").orderBy("__key"))

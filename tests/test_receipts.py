@@ -168,3 +168,21 @@ def test_numbers_of_many_stretches(spark):
     bounds = ordering._bounds(rows.select(F.struct(F.col("name").isNull().alias("k0"), F.col("name").alias("k1"), F.col("was").alias("k2")).alias("__key")), 256, 100)
     sizes = [r[1] for r in rows.groupBy(ordering._stretch(F.struct(F.col("name").isNull().alias("k0"), F.col("name").alias("k1"), F.col("was").alias("k2")), [F.struct(F.lit(b[0]).alias("k0"), F.lit(b[1]).cast("string").alias("k1"), F.lit(b[2]).cast("long").alias("k2")) for b in bounds])).count().collect()]
     assert len(sizes) > 40 and max(sizes) < 300
+
+
+def test_the_row_before_where_most_rows_have_one_key(spark):
+    rows = spark.range(3_000).selectExpr("id", "CASE WHEN id % 3 > 0 THEN 'hot' WHEN id % 7 > 0 THEN concat('k', id % 11) END AS k", "concat('v', id) AS v").cache()
+    got = ordering.with_previous(rows, "k", "id", "v", "was", some=100)
+    want, seen = {}, {}
+    for r in sorted(rows.collect()):
+        want[r.id] = (seen.get(r.k), r.k in seen)
+        seen[r.k] = r.v
+    assert {r.id: (r.was, r.has_was) for r in got.collect()} == want
+    assert "windowspecdefinition(k#" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_terms_that_are_nowhere(spark):
+    from leafwright.functions import scalars
+
+    row = spark.createDataFrame([("ab cde\nfg  hij", ["ab", "d", "bc", "hij", "fgh", "e\r"])], "text string, terms array<string>")
+    assert row.select(scalars.not_found(F.col("text"), F.col("terms"))).first()[0] == [2, 4, 5]
