@@ -210,3 +210,18 @@ def test_greedy_pairs_are_those_of_a_loop_and_take_no_square_of_time():
     start = time.time()
     many = [(i, "L", i / 8) for i in range(30_000)]
     assert len(evaluate.greedy_pairs(many, [(i, "L", t) for i, _, t in many], 1e9)) == 30_000 and time.time() - start < 10
+
+
+def test_dedupe_chain_of_videos_over_several_batches(spark):
+    """Videos end within batches and go on over them; each is told as if it were alone."""
+    rng = random.Random(5)
+    rows = [(v, v * 100 + i, float(i), float(rng.randrange(5)), True, 3, 500, rng.randrange(6)) for v in range(9) for i in range(rng.randrange(1, 14))]
+    df = lambda x: spark.createDataFrame(x, "video_id long, segment_id long, start double, duration double, include boolean, n_candidates long, keypoints long, sig long")
+    score = lambda c, i, j: 200 - 40 * abs(int(c["sig"][i]) - int(c["sig"][j]))
+    alone = [r for v in range(9) for r in sequence.dedupe_chain(df([r for r in rows if r[0] == v]), score).collect()]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        got = sequence.dedupe_chain(df(rows).coalesce(1), score)
+        assert sorted(map(str, got.collect())) == sorted(map(str, alone)) and "FlatMapGroups" not in got._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
